@@ -9,7 +9,8 @@ Three detectors, all in built-in expressions over whole texts:
   (digits masked) that several documents of more than one source share is a response, not an article; it
   counts the more if the address slug (publication and source) and the title have no term in the body.
 
-Words inside «…» or “…” are quoted and don't count as filler or notices. Defined results: null, blank and
+Words inside «…» or “…”, and for notices sentences that report speech or writing, are quotations and
+don't count. Defined results: null, blank and
 symbol-only texts are no cases; a repeated doc_id is judged by all its rows together and comes out once;
 extra columns are ignored; empty tables give no rows. A hot line (a third of all lines) is counted by
 partial aggregation and never collected.
@@ -92,10 +93,13 @@ STRONG = (
     r"\b(?:no|sin) (?:encontrad[oa]|disponible|existe|responde)\b",
     r"\b(?:no (?:he|hemos) recibido|no puedo|no podemos|no me es posible|no es posible|cannot|can't|unable to|je ne peux pas)\b.{0,60}\b(?:im[aá]gen(?:es)?|image|transcri\p{L}+|leer|cubierta|p[aá]gina|lectura)\b",
     r"\b(?:imagen|image|fotograf[ií]a|p[aá]gina)\b.{0,40}\b(?:no contiene texto|vac[ií]a|carece de|no se encuentra|contains no text)\b",
+    r"\b(?:no est[aá] disponible|ha(?:n)? cambiado de direcci[oó]n|tard[oó] demasiado|no responde|no pudo abrirse|ha caducado|en mantenimiento)\b",
     r"\b(?:como asistente|as an ai|as a language model|adjunte la|vuelva a subir)",
     r"\b(?:requiere|precisa|necesita|requires) (?:una |a )?(?:sesi[oó]n|session|login|identificaci[oó]n|iniciar)\b",
     r"\b(?:fue|ha sido|han sido|was|has been) (?:retirad|movid|eliminad|borrad|trasladad\p{L}+ de direcci|bloquead|removed|moved|deleted|blocked)",
 )
+# sentences that report what somebody said, wrote or read
+REPORTED = r"(?U)[^.!?\n]*\b(?:dec[ií]an?|rezaba|dijo|dijeron|respondi[oó]|lament[oó]|escribi[oó]|escrito|cuenta|contaba|rieron|anunciaba|le[ií]a|said|read)\b[^.!?\n]*"
 WEAK = (
     r"\b(?:lo sentimos|disculpe|sorry|oops|d[ée]sol[ée])\b", r"\b(?:error|fallo|incidencia|warning|aviso)\b",
     r"\b(?:servidor|server|nginx|apache|pasarela|gateway|base de datos|repositorio|navegador|browser|visor|enlace|url)\b",
@@ -138,7 +142,7 @@ def residue(documents: DataFrame) -> DataFrame:
         (_any(unquoted, tuple("(?U)" + p for p in FILLER)) | F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(low).rlike(WORDLESS)).alias("relleno"),
         F.lit(False).alias("aviso"),
     )
-    text = F.regexp_replace(unquoted, r"\s+", " ")
+    text = F.regexp_replace(F.regexp_replace(unquoted, REPORTED, " "), r"\s+", " ")
     slug = F.split(F.lower(F.concat_ws(" ", "publicacion", F.translate("source", "_", " "))), r"[^\p{L}]+")
     short = docs.where(F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nd}]+)"), 1)) <= SHORT).select(
         "doc_id",

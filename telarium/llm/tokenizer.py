@@ -126,8 +126,8 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
     return short.unionByName(rest)
 
 
-def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """(id_col, ids) of each row."""
+def located(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
+    """(row, doc, p, ids): ids of the word at each place of each row; p and ids are null for rows without words."""
     path = path or vocabulary_path()
     docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), 0).alias("w"))
     words = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -140,8 +140,21 @@ def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> Da
     each = rows.select("row", "doc", F.posexplode_outer("w").alias("p", "word")).join(F.broadcast(hot), "word", "left")
     here = each.where("ids is not null or word is null").select("row", "doc", "p", "ids")
     there = each.where("ids is null and word is not null").drop("ids").join(cold, "word").select("row", "doc", "p", "ids")
-    parts = here.unionByName(there).groupBy("row", "doc").agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "ids")))).alias("x"))
-    return parts.select(F.col("doc").alias(id_col), F.flatten(F.transform("x", lambda s: s["ids"])).alias("ids"))
+    return here.unionByName(there)
+
+
+def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
+    """(id_col, ids) of each row."""
+    one = F.when(F.col("p").isNotNull(), F.struct("p", "ids"))
+    rows = located(df, id_col, text, path).groupBy("row", "doc").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    return rows.select(F.col("doc").alias(id_col), F.flatten(F.transform("x", lambda s: s["ids"])).alias("ids"))
+
+
+def count_tokens(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
+    """(id_col, tokens) of each row."""
+    n = F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long")
+    rows = located(df, id_col, text, path).groupBy("row", "doc").agg(n.alias("tokens"))
+    return rows.select(F.col("doc").alias(id_col), "tokens")
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None) -> Column:
