@@ -42,8 +42,12 @@ def shingles(w: Column, k: int) -> Column:
 
 def sets(df: DataFrame, id_col: str, text: str, k: int, min_words: int) -> DataFrame:
     """(id, h, s): hash of the set and the set itself, of texts with min_words words at least."""
-    w = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text}`")).alias("w"))
-    s = w.where(F.size("w") >= min_words).select("id", shingles(F.col("w"), k).alias("s"))
+    # bound to a lambda variable, the list of words is made once a text and not once a shingle
+    short = F.array().cast("array<long>")
+    made = F.transform(
+        F.array(words(F.col(f"`{text}`"))), lambda w: F.when(F.size(w) >= min_words, shingles(w, k)).otherwise(short)
+    )
+    s = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.get(made, F.lit(0)).alias("s"))
     return s.where(F.size("s") > 0).select("id", F.unhex(F.md5(F.to_binary(F.array_join("s", ","), F.lit("utf-8")))).alias("h"), "s")
 
 
