@@ -12,8 +12,8 @@ overlap discard most pairs inside the join; the rest are verified exactly on the
 Records with equal sets are collapsed first and only their representative is compared; so groups of
 exact copies, however large, cost one row each until the query asks for their pairs.
 
-Defined results: null, empty and short texts (under min_words words) have no partners; an id names one
-text, so of rows that repeat an id one is compared; extra columns are ignored; empty tables give no rows.
+Defined results: null, empty and short texts (under min_words words) have no partners; rows that repeat an
+id count as one row that has all their texts; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telarium.session import materialise, read
+from telarium.session import drop_table, materialise, read
 
 SEGMENT_BITS = 17
+FEW_COPIES = 1_000_000
 WORDS = 4  # 64-bit words of the parity bitmap
 
 
@@ -168,12 +169,16 @@ def similar(df: DataFrame, id_col: str, text: str, k: int = 5, threshold: float
     all_sets = materialise(sets(df, id_col, text, k, min_words), "conjuntos")
     first = all_sets.groupBy("h").agg(F.min("id").alias("rep"))
     members = materialise(all_sets.select("id", "h").join(first, "h").groupBy("id").agg(F.min("rep").alias("rep")), "miembros")
-    reps = all_sets.join(members.where("id = rep"), "id", "left_semi").groupBy("id").agg(F.min_by("s", "h").alias("s"))
-    reps = materialise(reps, "representantes")
+    copies = materialise(members.where("id <> rep").select("id"), "copias")
+    if copies.count() <= FEW_COPIES:  # FEW_COPIES ids are broadcast at most
+        reps = all_sets.join(F.broadcast(copies), "id", "left_anti").select("id", "s")
+    else:
+        reps = materialise(all_sets.join(copies, "id", "left_anti").select("id", "s"), "representantes")
+        drop_table(all_sets)
     costs = segment_costs(reps)
     pairs = candidates(index(reps, costs, threshold), threshold)
     links = materialise(verify(pairs, reps, threshold), "enlaces")
-    return members, links
+    return members, links.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
