@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ledger", "consensus", "cooccur", "nearsets", "tokenizer", "residue", "mixture", "names", "linkage")
+MODULES = ("ledger", "consensus", "cooccur", "nearsets", "tokenizer", "residue", "mixture", "names", "linkage", "ocrtext")
 
 
 def _all(kind: str) -> dict:
