@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "text", "affect")
+MODULES = ("lexical", "text", "affect", "entities")
 
 
 def _all(kind: str) -> dict:

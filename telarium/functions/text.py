@@ -37,10 +37,14 @@ def occurrences(c: Column, term: str) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / F.lit(len(term))
 
 
+def unaccented(c: Column) -> Column:
+    return F.translate(c, "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
+
+
 def plain(c: Column) -> Column:
     """lower case without accents, single spaces."""
-    low = F.translate(F.lower(c), "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
-    return F.trim(F.regexp_replace(low, r"\s+", " "))
+    low = unaccented(F.lower(c))
+    return F.trim(F.regexp_replace(low, r"[\s\x{00A0}]+", " "))
 
 
 def slug(c: Column, joint: str, empty: str) -> Column:
