@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "text", "affect", "entities")
+MODULES = ("lexical", "text", "affect", "entities", "graph", "sequence")
 
 
 def _all(kind: str) -> dict:
