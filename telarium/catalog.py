@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "text", "affect", "entities", "graph", "sequence")
+MODULES = ("lexical", "text", "affect", "entities", "graph", "sequence", "similarity", "evaluation")
 
 
 def _all(kind: str) -> dict:
