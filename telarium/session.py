@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +91,15 @@ def drop_table(df: DataFrame) -> None:
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         if "/telarium-" in folder:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def short_plans(spark: SparkSession, length: int = 100_000) -> Iterator[None]:
+    """Keeps descriptions of plans short while they hold large constants, as the driver retains them."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
