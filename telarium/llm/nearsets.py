@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telarium.operators.graph import components
 from telarium.session import drop_table, materialise, read
 
 SEGMENT_BITS = 17
@@ -149,21 +150,6 @@ def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(exact, f"a {kind}, b {kind}, sim double")
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, clase): smallest id of the linked nodes, by alternating min-label steps with written tables."""
-    pairs = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "aristas")
-    label = materialise(nodes.select("id", F.col("id").alias("clase")), "clases")
-    while True:
-        around = pairs.join(label, pairs["b"] == label["id"]).groupBy("a").agg(F.min("clase").alias("m"))
-        step = label.join(around, label["id"] == around["a"], "left").select("id", F.least("clase", "m").alias("c"), "clase")
-        jump = label.select(F.col("id").alias("j"), F.col("clase").alias("jc"))
-        new = step.join(jump, step["c"] == jump["j"], "left").select("id", F.least("c", "jc").alias("clase"), (F.least("c", "jc") < F.col("clase")).alias("moved"))
-        new = materialise(new, "clases")
-        label = new.select("id", "clase")
-        if not new.where("moved").limit(1).count():
-            return label
-
-
 def similar(df: DataFrame, id_col: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) of each set of equal shingles, links (a, b, sim) between representatives."""
     all_sets = materialise(sets(df, id_col, text, k, min_words), "conjuntos")
