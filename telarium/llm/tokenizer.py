@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telarium.session import materialise, read
+from telarium.session import materialise, read, short_plans
 
 BUCKETS = 1 << 14
 LONG = 40
@@ -58,7 +58,12 @@ def _rank(table: Column, piece: Column) -> Column:
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """array<int>: ids of one word, by folding ranked merges over its bytes."""
+    """array<int>: ids of one word; the constant stands in the plan once, bound to a lambda variable."""
+    return F.get(F.transform(F.array(table), lambda t: _fold(word, t)), F.lit(0))
+
+
+def _fold(word: Column, table: Column) -> Column:
+    """Ranked merges over the bytes of the word."""
     data = F.encode(word, "utf-8")
     whole = _rank(table, data)
     none = F.lit(2147483647)
@@ -131,7 +136,8 @@ def located(df: DataFrame, id_col: str, text: str, path: str | None = None) -> D
     path = path or vocabulary_path()
     docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), 0).alias("w"))
     words = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialise(dictionary(materialise(words, "palabras").repartition("word"), path), "vocabulario")
+    with short_plans(df.sparkSession):
+        words = materialise(dictionary(materialise(words, "palabras").repartition("word"), path), "vocabulario")
     hot = words.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids")
     hot = materialise(hot, "frecuentes")
     cold = words.select("word", "ids").join(F.broadcast(hot.select("word")), "word", "left_anti")
