@@ -10,12 +10,12 @@ from telarium.streaming import files as S
 
 def x1_stream_windows(spark, sf_dir: str) -> DataFrame:
     """Daily counts and sums of each kind of event."""
-    return S.run(S.tumbling(S.events(spark, f"{sf_dir}/events.parquet")), "complete", "ventanas")
+    return S.run(S.tumbling(S.events(spark, f"{sf_dir}/event[s].parquet")), "complete", "ventanas")
 
 
 def x2_stream_state(spark, sf_dir: str) -> DataFrame:
     """Count and greatest value of each user, kept in state."""
-    found = S.run(S.totals(S.events(spark, f"{sf_dir}/events.parquet").where("user_id is not null and value is not null")), "update", "usuarios")
+    found = S.run(S.totals(S.events(spark, f"{sf_dir}/event[s].parquet").where("user_id is not null and value is not null")), "update", "usuarios")
     return found.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max("mayor"), 4).alias("mayor"))
 
 

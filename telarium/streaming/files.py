@@ -13,7 +13,7 @@ from telarium.session import table_path
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """The events as a stream of files; local timestamps become instants of UTC."""
+    """The events as a stream of files (path is a pattern); local timestamps become instants of the session's zone."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
