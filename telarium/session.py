@@ -79,7 +79,7 @@ def materialise(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a table without rows has no files to tell its schema
 
 
 def drop_table(df: DataFrame) -> None:
