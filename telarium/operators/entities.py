@@ -44,7 +44,7 @@ def vocabulary(aut: DataFrame, cache: DataFrame, rev: DataFrame) -> DataFrame:
 
 def recognise(docs: DataFrame) -> DataFrame:
     """runs of capitalised words."""
-    found = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+(?: (?:de |del |la )?\p{Lu}\p{Ll}+)+)"), 1)
+    found = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+(?: (?:de |del |la )?\p{Lu}\p{Ll}+){1,20})"), 1)
     return docs.where("text is not null").select("doc_id", F.explode(found).alias("texto"))
 
 

@@ -234,7 +234,7 @@ def topic_comparison(arts: DataFrame) -> DataFrame:
     return g.crossJoin(m).select("seccion", (F.col("k") == F.col("m")).alias("comun"), "n")
 
 
-_NER = r"regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: (?:de |del |la )?\p{Lu}\p{Ll}+)+')"
+_NER = r"regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: (?:de |del |la )?\p{Lu}\p{Ll}+){1,20}')"
 
 
 @q("f20_named_entities", f"select doc_id, e as texto, count(*) as n from (select doc_id, unnest({_NER}) as e from documents where text is not null) group by 1, 2", "documents")
@@ -272,11 +272,11 @@ def link_cache(cache: DataFrame) -> DataFrame:
     return cache.crossJoin(v).where("algo_version = v and consultado is not null").select("texto", "categoria", F.col("resultado").isNotNull().alias("hallado"))
 
 
-@q("w17_pronoun_chains", r"with s as (select doc_id, regexp_split_to_array(text, '[.!?]+') as s from documents where text is not null), e as (select doc_id, unnest(s) as o, unnest(generate_series(1, len(s))) as k from s), p as (select doc_id, k, len(regexp_extract_all(o, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+')) as personas, len(list_filter(regexp_extract_all(lower(o), '\p{L}+'), lambda w: w in ('él', 'ella', 'ellos', 'ellas', 'su', 'sus'))) as pron from e) select a.doc_id, a.k::int as oracion, a.personas::int as personas, sum(b.pron)::bigint as pronombres from p a join p b on b.doc_id = a.doc_id and b.k between a.k + 1 and a.k + 3 where a.personas > 0 group by 1, 2, 3", "documents")
+@q("w17_pronoun_chains", r"with s as (select doc_id, regexp_split_to_array(text, '[.!?]+') as s from documents where text is not null), e as (select doc_id, unnest(s) as o, unnest(generate_series(1, len(s))) as k from s), p as (select doc_id, k, len(regexp_extract_all(o, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){1,20}')) as personas, len(list_filter(regexp_extract_all(lower(o), '\p{L}+'), lambda w: w in ('él', 'ella', 'ellos', 'ellas', 'su', 'sus'))) as pron from e) select a.doc_id, a.k::int as oracion, a.personas::int as personas, sum(b.pron)::bigint as pronombres from p a join p b on b.doc_id = a.doc_id and b.k between a.k + 1 and a.k + 3 where a.personas > 0 group by 1, 2, 3", "documents")
 def chains(docs: DataFrame) -> DataFrame:
     """Pronouns in the three sentences after a mention; neighbours are taken in the list of sentences."""
     s = F.split("text", "[.!?]+")
-    x = docs.where("text is not null").select("doc_id", F.transform(s, lambda o: F.struct(F.size(F.regexp_extract_all(o, F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"), 1)).alias("personas"), F.size(F.filter(F.regexp_extract_all(F.lower(o), F.lit(r"(\p{L}+)"), 1), lambda w: w.isin("él", "ella", "ellos", "ellas", "su", "sus"))).cast("long").alias("pron"))).alias("s"))
+    x = docs.where("text is not null").select("doc_id", F.transform(s, lambda o: F.struct(F.size(F.regexp_extract_all(o, F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){1,20})"), 1)).alias("personas"), F.size(F.filter(F.regexp_extract_all(F.lower(o), F.lit(r"(\p{L}+)"), 1), lambda w: w.isin("él", "ella", "ellos", "ellas", "su", "sus"))).cast("long").alias("pron"))).alias("s"))
     rows = x.select("doc_id", "s", F.posexplode("s").alias("i", "e")).where(F.col("e.personas") > 0)
     after = F.slice("s", F.col("i") + 2, F.lit(3))
     return rows.where(F.size(after) > 0).select("doc_id", (F.col("i") + 1).alias("oracion"), "e.personas", F.aggregate(after, F.lit(0).cast("long"), lambda a, y: a + y["pron"]).alias("pronombres"))
