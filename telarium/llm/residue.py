@@ -66,15 +66,15 @@ PLACEHOLDERS = (
     r"\b(?:FIXME|TBD):",
 )
 FILLER = (
-    r"\b(\p{L}{2,})(?:[\s,.]+\1\b){2,}",
+    r"\b(\p{L}{2,})(?:[\s,.]+\1\b){2}",
     r"\b(?:texto|p[aá]rrafo|t[ií]tulo|pie de foto|columna) (?:simulad[oa]|fingid[oa]|de (?:relleno|ejemplo|prueba|muestra))\b",
     r"(?:^|[.\n])\s*aqu[ií] va (?:el|la|un|una) (?:texto|t[ií]tulo|entradilla|foto|pie)",
     r"\b(?:sustituya|reemplace|cambie|borre) est[ea] (?:p[aá]rrafo|texto|l[ií]nea|frase)",
     r"\b(?:placeholder|dummy|sample|filler) (?:text|paragraph)\b",
     r"\b(?:faux texte|texte d'exemple|texte de remplissage)\b",
     r"\blorem ipsum\b",
-    r"\b(?:asdf|qwer|qwerty|hjkl|jkl[ñ;]|zxcv)\p{L}*(?:\s+(?:asdf|qwer|qwerty|hjkl|jkl[ñ;]|zxcv)\p{L}*){2,}",
-    r"\bx{3,}(?:\s+x{3,}){2,}",
+    r"\b(?:asdf|qwer|qwerty|hjkl|jkl[ñ;]|zxcv)\p{L}*(?:\s+(?:asdf|qwer|qwerty|hjkl|jkl[ñ;]|zxcv)\p{L}*){2}",
+    r"\bx{3,}(?:\s+x{3,}){2}",
 )
 FUNCTION = (
     "a|al|ante|bajo|con|contra|cuando|de|del|desde|donde|e|el|ella|en|entre|era|es|esta|este|la|las|le|les|lo|los|más|mi|"
@@ -82,7 +82,7 @@ FUNCTION = (
     "the|of|and|to|is|was|for|on|with|as|by|at|from|that|near|l|d|du|des|les|est|dans|par|près|sur|une|depuis|vers|sans"
 )
 # a run of lower-case words without a function word
-WORDLESS = rf"(?:(?<![\p{{L}}\p{{M}}])(?!(?:{FUNCTION})(?![\p{{L}}\p{{M}}]))\p{{Ll}}{{2,}}[ ,\n]{{1,3}}){{9,}}\p{{Ll}}{{2,}}"
+WORDLESS = rf"(?:(?<![\p{{L}}\p{{M}}])(?!(?:{FUNCTION})(?![\p{{L}}\p{{M}}]))\p{{Ll}}{{2,}}[ ,\n]{{1,3}}){{9}}\p{{Ll}}{{2,}}"
 
 STRONG = (
     r"\b(?:active|activ\p{L}+|habilit\p{L}+|enable|activez|necesita|requiere|precisa|pide|desactivad\p{L}+|funciona|muestra|requires?|needs?)\b.{0,60}\b(?:javascript|js|scripts?|cookies)\b",
@@ -99,7 +99,7 @@ STRONG = (
     r"\b(?:fue|ha sido|han sido|was|has been) (?:retirad|movid|eliminad|borrad|trasladad\p{L}+ de direcci|bloquead|removed|moved|deleted|blocked)",
 )
 # sentences that report what somebody said, wrote or read
-REPORTED = r"(?U)[^.!?\n]*\b(?:dec[ií]an?|rezaba|dijo|dijeron|respondi[oó]|lament[oó]|escribi[oó]|escrito|cuenta|contaba|rieron|anunciaba|le[ií]a|said|read)\b[^.!?\n]*"
+REPORTED = r"(?U)(?:^|(?<=[.!?\n]))[^.!?\n]*?\b(?:dec[ií]an?|rezaba|dijo|dijeron|respondi[oó]|lament[oó]|escribi[oó]|escrito|cuenta|contaba|rieron|anunciaba|le[ií]a|said|read)\b[^.!?\n]*"
 WEAK = (
     r"\b(?:lo sentimos|disculpe|sorry|oops|d[ée]sol[ée])\b", r"\b(?:error|fallo|incidencia|warning|aviso)\b",
     r"\b(?:servidor|server|nginx|apache|pasarela|gateway|base de datos|repositorio|navegador|browser|visor|enlace|url)\b",
