@@ -2,7 +2,7 @@
 
 Every label is either truthful (with the annotator's competence) or drawn from the annotator's own
 guess distribution; expectation-maximisation yields the category of each span, each competence and
-each guess distribution. The spans are first reduced to their distinct label patterns with counts, so
+each guess distribution, which may depend on the true category. The spans are first reduced to their distinct label patterns with counts, so
 that an iteration reads a small table and moves one row of annotators x categories sums per task; only
 these parameters (a few dozen bytes an annotator) are on the driver.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from telarium.session import materialise, read
 
-ITERATIONS = 60
-TOLERANCE = 1e-4
+ITERATIONS = 40
+TOLERANCE = 1e-3
 MAX_PARAMETERS = 20_000_000
 STATES = ("confirmada", "corregida")
 
@@ -44,51 +44,68 @@ def spans(labels: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Competence, guess distributions and prior, with the E-step over batches of patterns."""
+    """Competence, guess distributions and prior, with the E-step over batches of patterns.
+
+    Competence and guesses may differ by the true category, for people who take one category for another
+    throughout; both are shrunk to the person's overall values, which are all that the first steps use.
+    """
+
+    OVERALL = 8  # steps without a difference by category
+    SHRINK = 4.0  # labels that the overall values count for
 
     def __init__(self, people: list[str], categories: list[str]):
-        if len(people) * len(categories) > MAX_PARAMETERS:
+        a, k = len(people), max(1, len(categories))
+        if a * k * k > MAX_PARAMETERS:
             raise ValueError("too many annotators x categories for the parameters to be held")
         self.people, self.categories = people, categories
-        self.code = {f"{p}\u0001{c}": i * len(categories) + k for i, p in enumerate(people) for k, c in enumerate(categories)}
-        a, k = len(people), max(1, len(categories))
-        self.theta = np.full(a, 0.8)
-        self.guess = np.full((a, k), 1.0 / k)
+        self.code = {f"{p}\u0001{c}": i * k + j for i, p in enumerate(people) for j, c in enumerate(categories)}
+        self.competence = np.full(a, 0.8)
+        self.habit = np.full((a, k), 1.0 / k)
+        self.theta = np.full((a, k), 0.8)  # by true category
+        self.guess = np.full((a, k, k), 1.0 / k)  # by true category
         self.prior = np.full(k, 1.0 / k)
 
-    def posteriors(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Posterior of each pattern's categories; and annotator, category and pattern of each label."""
-        k = len(self.categories)
+    def _labels(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Annotator, category and pattern of each label."""
         codes = np.fromiter((self.code[x] for row in labels for x in row), dtype=np.int64)
         item = np.repeat(np.arange(len(labels)), [len(row) for row in labels])
-        who, what = codes // k, codes % k
-        other = (1 - self.theta[who]) * self.guess[who, what]
+        return codes // len(self.categories), codes % len(self.categories), item
+
+    def posteriors(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior of each pattern's categories; and annotator, category and pattern of each label."""
+        who, what, item = self._labels(labels)
+        p = (1 - self.theta[who]) * self.guess[who, :, what]
+        p[np.arange(len(who)), what] += self.theta[who, what]
         log = np.tile(np.log(self.prior), (len(labels), 1))
-        np.add.at(log, item, np.log(other)[:, None].repeat(k, 1))
-        np.add.at(log, (item, what), np.log(self.theta[who] + other) - np.log(other))
+        np.add.at(log, item, np.log(p))
         log -= log.max(axis=1, keepdims=True)
         p = np.exp(log)
         return p / p.sum(axis=1, keepdims=True), who, what, item
 
     def votes(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Shares of votes in place of posteriors, for the first iteration."""
-        k = len(self.categories)
-        codes = np.fromiter((self.code[x] for row in labels for x in row), dtype=np.int64)
-        item = np.repeat(np.arange(len(labels)), [len(row) for row in labels])
-        who, what = codes // k, codes % k
-        p = np.full((len(labels), k), 1e-3)
+        who, what, item = self._labels(labels)
+        p = np.full((len(labels), len(self.categories)), 1e-3)
         np.add.at(p, (item, what), 1.0)
         return p / p.sum(axis=1, keepdims=True), who, what, item
 
-    def update(self, seen: np.ndarray, agreed: np.ndarray, prior: np.ndarray) -> float:
-        """The M-step: labels seen and posteriors of the labelled category, by annotator and category."""
-        other = (1 - self.theta)[:, None] * self.guess
-        truthful = agreed * (self.theta[:, None] / (self.theta[:, None] + other))
-        spam = seen - truthful
-        theta = (truthful.sum(1) + 1.0) / (seen.sum(1) + 1.25)
-        guess = (spam + 0.1) / (spam.sum(1, keepdims=True) + 0.1 * spam.shape[1])
+    def update(self, seen: np.ndarray, prior: np.ndarray, step: int) -> float:
+        """The M-step; seen[person, true category, label] are expected counts."""
+        k = seen.shape[2]
+        right = np.einsum("att->at", seen)
+        guessed = (1 - self.theta) * np.einsum("att->at", self.guess)
+        truthful = right * self.theta / (self.theta + guessed)
+        spam = seen.copy()
+        spam[:, np.arange(k), np.arange(k)] -= truthful
+        self.competence = (truthful.sum(1) + 1.0) / (seen.sum((1, 2)) + 1.25)
+        self.habit = (spam.sum(1) + 0.1) / (spam.sum((1, 2)) + 0.1 * k)[:, None]
+        theta, guess = np.repeat(self.competence[:, None], k, 1), np.repeat(self.habit[:, None, :], k, 1)
+        if step >= self.OVERALL:
+            theta = (truthful + self.SHRINK * theta) / (seen.sum(2) + self.SHRINK)
+            guess = (spam + self.SHRINK * guess) / (spam.sum(2, keepdims=True) + self.SHRINK)
+        theta = np.clip(theta, 1e-6, 1 - 1e-6)
         moved = max(np.abs(theta - self.theta).max(initial=0), np.abs(guess - self.guess).max(initial=0))
-        self.theta, self.guess = np.clip(theta, 1e-6, 1 - 1e-6), guess
+        self.theta, self.guess = theta, guess
         self.prior = (prior + 0.5) / (prior.sum() + 0.5 * len(prior))
         return float(moved)
 
@@ -103,21 +120,21 @@ def fit(labels: DataFrame, patterns: DataFrame) -> Model:
     for step in range(ITERATIONS):
 
         def sums(batches, model=model, first=step == 0):
-            seen, agreed, prior = np.zeros(a * k), np.zeros(a * k), np.zeros(k)
+            seen, prior = np.zeros((a, k, k)), np.zeros(k)
             for b in batches:
                 rows, n = b.column("etiquetas").to_pylist(), b.column("n").to_numpy()
                 if not rows:
                     continue
                 p, who, what, item = (model.votes if first else model.posteriors)(rows)
-                np.add.at(seen, who * k + what, n[item])
-                np.add.at(agreed, who * k + what, n[item] * p[item, what])
+                for t in range(k):
+                    np.add.at(seen, (who, t, what), n[item] * p[item, t])
                 prior += n @ p
-            yield pa.RecordBatch.from_pydict({"i": np.arange(2 * a * k + k), "v": np.concatenate([seen, agreed, prior])})
+            yield pa.RecordBatch.from_pydict({"i": np.arange(a * k * k + k), "v": np.concatenate([seen.ravel(), prior])})
 
         got = patterns.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         v = got.sort_values("i")["v"].to_numpy()
-        moved = model.update(v[: a * k].reshape(a, k), v[a * k : 2 * a * k].reshape(a, k), v[2 * a * k :])
-        if step and moved < TOLERANCE:
+        moved = model.update(v[: a * k * k].reshape(a, k, k), v[a * k * k :], step)
+        if step > model.OVERALL + 1 and moved < TOLERANCE:
             break
     return model
 
@@ -167,7 +184,7 @@ def p5_fiabilidad(spark, sf_dir: str) -> DataFrame:
     """Each annotator's competence and most usual guess."""
     _, model = consensus(read(spark, sf_dir, "anotaciones"))
     rows = [
-        (p, float(model.theta[i]), model.categories[int(model.guess[i].argmax())], float(model.guess[i].max()))
+        (p, float(model.competence[i]), model.categories[int(model.habit[i].argmax())], float(model.habit[i].max()))
         for i, p in enumerate(model.people)
     ]
     return spark.createDataFrame(rows, "fuente string, competencia double, categoria_supuesta string, parte double")

@@ -184,11 +184,25 @@ def test_consensus_trusts_the_competent(spark):
     got = {r["art_id"]: r for r in found.collect()}
     right = sum(got[a]["categoria"] == t for a, t in truth.items()) / len(truth)
     assert right > 0.93 and set(got) == set(truth)
-    skill = dict(zip(model.people, model.theta, strict=True))
+    skill = dict(zip(model.people, model.competence, strict=True))
     assert skill["anot_1"] > 0.85 and skill["anot_3"] < 0.5
     assert consensus.consensus(df.limit(0))[0].count() == 0
 
 
+def test_consensus_sees_through_a_swap(spark):
+    rng = random.Random(55)
+    swap = {"lugares": "organizaciones", "organizaciones": "lugares", "personas": "personas"}
+    rows, truth = [], {}
+    for i in range(400):
+        truth[f"a{i}"] = t = rng.choice(list(swap))
+        for who in rng.sample(["anot_1", "anot_2", "anot_3", "anot_4", "anot_5"], 3):
+            label = swap[t] if who == "anot_5" else t if rng.random() < 0.85 else rng.choice(list(swap))
+            rows.append((len(rows), f"a{i}", "x", label, "confirmada", who, None))
+    df = spark.createDataFrame(rows, "id long, art_id string, texto_norm string, categoria string, estado string, fuente string, modificada_en timestamp")
+    found, _ = consensus.consensus(df)
+    assert sum(r["categoria"] == truth[r["art_id"]] for r in found.collect()) / 400 > 0.95
+
+
 def test_last_label_stands(spark):
     import datetime as d
 
