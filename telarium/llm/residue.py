@@ -65,6 +65,8 @@ PLACEHOLDERS = (
     r"\bTODO:\s*\p{Ll}",
     r"\b(?:FIXME|TBD):",
 )
+# what every placeholder has; a text without it needs no look at each pattern
+SIGNS = r"[{%<@#$_\[]|X{3}|(?i:completar|pendiente)»|TODO:|FIXME:|TBD:"
 FILLER = (
     r"\b(\p{L}{2,})(?:[\s,.]+\1\b){2}",
     r"\b(?:texto|p[aá]rrafo|t[ií]tulo|pie de foto|columna) (?:simulad[oa]|fingid[oa]|de (?:relleno|ejemplo|prueba|muestra))\b",
@@ -138,7 +140,7 @@ def residue(documents: DataFrame) -> DataFrame:
     unquoted = F.regexp_replace(low, r"«[^«»\n]*»|“[^“”\n]*”", "«»")
     marked = docs.select(
         "doc_id",
-        _any(F.col("text"), PLACEHOLDERS).alias("hueco"),
+        (F.col("text").rlike(SIGNS) & _any(F.col("text"), PLACEHOLDERS)).alias("hueco"),
         (_any(unquoted, tuple("(?U)" + p for p in FILLER)) | F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(low).rlike(WORDLESS)).alias("relleno"),
         F.lit(False).alias("aviso"),
     )
