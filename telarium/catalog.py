@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "text", "affect", "entities", "graph", "sequence", "similarity", "evaluation", "store", "sources", "models", "streams")
+MODULES = ("lexical", "text", "affect", "entities", "graph", "sequence", "similarity", "evaluation", "store", "sources", "models", "streams", "reports")
 
 
 def _all(kind: str) -> dict:
