@@ -2,11 +2,13 @@
 
 A page becomes lines with features of their place on the page. Three averaged perceptrons are trained on a
 bounded sample of pages that have a cleaned layer (TRAIN_PAGES): one for the kind of a line (text, running
-header, page number), one for line joins, one that edits the characters of unknown words (keep, or a
+header, page number), one for line joins, one that edits the characters of words (keep, or a
 replacement, deletion or insertion learned from the sample). Names of running headers come from all pages:
-a heading is furniture if it mostly stands on the first line or between two lines of text. The lexicon
-counts the cleaned layers of all pages; it reaches the executors as two bit tables of fixed size
-(2^BITS bits), which can take a rare unknown word for a known one and nothing else.
+a heading is furniture if it mostly stands on the first line or between two lines of text; a page gets the
+names among its own headings by a join. The lexicon counts the cleaned layers of all pages; it reaches the
+executors as bit tables of fixed size (2^BITS bits), one for each of the counts LEVELS, which can take a word
+for a more frequent one and nothing else. Cleaned layers are not free of faults: a word of any count may be a
+slip for one that stands GAP levels higher (more than 16 times as frequent).
 
 Defined results: null and empty raw texts give no lines; blank lines are counted and have no kind; pages
 with a cleaned layer are not judged; repeated rows are judged each; very long pages are read once, line by
@@ -33,6 +35,8 @@ from telarium.session import materialise, read
 TRAIN_PAGES = 1500
 BITS = 23
 KNOWN, COMMON = 3, 40
+LEVELS = (KNOWN, 10, *(COMMON * 4**i for i in range(10)))
+GAP = 3
 EPOCHS = 4
 
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -78,14 +82,14 @@ class Perceptron:
 
 
 class Bits:
-    """Two sets of words as tables of fixed size."""
+    """Words of each count of LEVELS as tables of fixed size."""
 
     def __init__(self, tables: list[np.ndarray]):
         self.tables = tables
         self.seen: dict[str, int] = {}
 
     def level(self, w: str) -> int:
-        """0 unknown, 1 known, 2 common."""
+        """How many of LEVELS the count of the word reaches; 0 for unknown words."""
         got = self.seen.get(w)
         if got is None:
             places = positions(w)
@@ -99,6 +103,11 @@ class Bits:
             self.seen[w] = got
         return got
 
+    def rank(self, w: str) -> int:
+        """0 unknown, 1 known, 2 common."""
+        got = self.level(w)
+        return (got > 0) + (got > LEVELS.index(COMMON))
+
     def __getstate__(self) -> dict:
         return {"tables": self.tables, "seen": {}}
 
@@ -110,7 +119,7 @@ def positions(w: str) -> tuple[int, int, int]:
 
 
 def lexicon(pages: DataFrame) -> Bits:
-    """Words of the cleaned layers that occur KNOWN and COMMON times, as bit tables."""
+    """Words of the cleaned layers by how often they occur, as bit tables."""
     text = F.lower(F.col("texto_limpio"))
     compounds, simple = (F.regexp_extract_all(text, F.lit(p), 1) for p in (r"(\p{L}+(?:-\p{L}+){1,4})", r"(\p{L}+)"))
     words = pages.where("texto_limpio is not null").select(F.explode(F.concat(compounds, simple)).alias("w"))
@@ -121,13 +130,13 @@ def lexicon(pages: DataFrame) -> Bits:
         for b in batches:
             for w, n in zip(b["w"], b["n"], strict=True):
                 for p in positions(w):
-                    for level in (0, 1) if n >= COMMON else (0,):
+                    for level in range(sum(n >= x for x in LEVELS)):
                         acc[level, p >> 5] |= 1 << (p & 31)
         yield pd.DataFrame([(k[0], k[1], v) for k, v in acc.items()], columns=["level", "i", "b"])
 
     got = counts.mapInPandas(bits, "level int, i long, b long").groupBy("level", "i").agg(F.bit_or("b").alias("b")).toArrow()
     tables = []
-    for level in (0, 1):
+    for level in range(len(LEVELS)):
         table = np.zeros(1 << (BITS - 5), np.uint32)
         mask = got.column("level").to_numpy() == level
         table[got.column("i").to_numpy()[mask]] = got.column("b").to_numpy()[mask].astype(np.uint32)
@@ -150,28 +159,39 @@ def core(line: str) -> str | None:
     return None
 
 
-def headers(pages: DataFrame) -> set[str]:
-    """Names of running headers and stamps, from the places of headings on all pages."""
+def headers(pages: DataFrame) -> DataFrame:
+    """(c): names of running headers and stamps, from the places of headings on all pages."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, list[int]] = {}
-        n = 0
         for b in batches:
             for text in b["texto_crudo"]:
-                n += 1
                 lines = text.split("\n")
                 for k, line in enumerate(lines):
                     if len(line) <= 90 and (c := core(line)):
                         s = acc.setdefault(c, [0, 0])
                         s[0] += 1
                         s[1] += k == 0 or (0 < k < len(lines) - 1 and bool(lines[k - 1].strip()) and bool(lines[k + 1].strip()))
-        yield pd.DataFrame([("", n, 0), *((k, *v) for k, v in acc.items())], columns=["c", "n", "f"])
+        yield pd.DataFrame([(k, *v) for k, v in acc.items()], columns=["c", "n", "f"])
 
     got = pages.where("texto_crudo is not null").select("texto_crudo").mapInPandas(rows, "c string, n long, f long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    got = materialise(got, "cabeceras")
-    size = got.where("c = ''").agg(F.sum("n")).first()[0] or 0
-    least = max(3, size // 20_000)  # so that the set is bounded, whatever the number of pages
-    return {r["c"] for r in got.where((F.col("c") != "") & (F.col("n") >= least) & (F.col("f") * 2 >= F.col("n"))).collect()}
+    return materialise(got.where((F.col("n") >= KNOWN) & (F.col("f") * 2 >= F.col("n"))).select("c"), "cabeceras")
+
+
+def headings(text: str) -> set[str]:
+    return {c for line in text.split("\n") if len(line) <= 90 and (c := core(line))}
+
+
+def with_names(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds `names`: those among the headings of the page, found by a join."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, c) for i, text in zip(b["id"], b["texto_crudo"], strict=True) for c in headings(text)]
+            yield pd.DataFrame(out, columns=["of", "c"])
+
+    found = pages.select("id", "texto_crudo").mapInPandas(rows, "of long, c string").join(names, "c").groupBy("of").agg(F.collect_set("c").alias("names"))
+    return pages.join(found, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "texto_crudo", "names")
 
 
 def line_features(lines: list[str], k: int, names: set[str]) -> list:
@@ -191,8 +211,8 @@ def broken(left: str, right: str, bits: Bits) -> list:
     a, b = left.rstrip(HYPHENS).lower(), right.lower()
     tail = re.match(r"[^\W\d_]+(?:-[^\W\d_]+)*", b)
     b = tail.group() if tail else b
-    j, hyphened = bits.level(a + b), bits.level(f"{a}-{b}")
-    la, lb = bits.level(a), bits.level(b)
+    j, hyphened = bits.rank(a + b), bits.rank(f"{a}-{b}")
+    la, lb = bits.rank(a), bits.rank(b)
     return [
         "bias", f"mark={mark}", f"mark,j={mark},{j}", f"mark,h={mark},{hyphened > 0}", f"mark,a,b={mark},{la},{lb}", f"mark,j,a,b={mark},{j},{la},{lb}", f"mark,j,h={mark},{j > 0},{hyphened > 0}",
         f"mark,upper={mark},{right[:1].isupper()}", f"mark,short={mark},{len(a) < 3}", f"mark,end={mark},{bool(tail)}",
@@ -200,20 +220,23 @@ def broken(left: str, right: str, bits: Bits) -> list:
 
 
 def edits(w: str, ops: dict[str, list[str]], bits: Bits) -> list[tuple[str, str, int]]:
-    """(word, operation, place) of the known words that one learned operation makes of w."""
+    """(word, operation, place) of the known words, GAP levels more frequent than a known w, that one learned operation makes of w."""
     out = []
+    own = bits.level(w)
+    least = own + GAP if own else 1
     for i in range(len(w)):
         for n in (1, 2):
             for right in ops.get(w[i : i + n], ()) if i + n <= len(w) else ():
                 v = w[:i] + right + w[i + n :]
-                if bits.level(v):
+                if bits.level(v) >= least:
                     out.append((v, f"{w[i : i + n]}>{right}", i))
     return out
 
 
 def edit_features(w: str, v: str, op: str, i: int, bits: Bits) -> list:
-    odd = not w.isalpha()
-    return ["bias", f"op={op}", f"op,prev={op},{w[i - 1 : i]}", f"op,next={op},{w[i + 1 : i + 2]}", f"known={bits.level(v)}", f"known,odd={bits.level(v)},{odd}", f"odd={odd}", f"len={min(len(w), 10)}", f"first={i == 0}"]
+    odd, own, known = not w.isalpha(), bits.level(w), bits.rank(v)
+    out = ["bias", f"op={op}", f"op,prev={op},{w[i - 1 : i]}", f"op,next={op},{w[i + 1 : i + 2]}", f"known={known}", f"known,odd={known},{odd}", f"odd={odd}", f"len={min(len(w), 10)}", f"first={i == 0}"]
+    return [*out, "own", f"own,gap={min(bits.level(v) - own, 7)}", f"own,op={op}"] if own else out
 
 
 class Editor:
@@ -224,6 +247,7 @@ class Editor:
         self.kind, self.join, self.char = Perceptron(), Perceptron(), Perceptron()
         self.ops: dict[str, list[str]] = {}
         self.cache: dict[str, int | None] = {}
+        self.meant: dict[str, tuple[str, int] | None] = {}
 
     def kinds(self, lines: list[str]) -> list[str]:
         """'' for blank lines and text, 'cabecera' or 'folio' for furniture."""
@@ -244,16 +268,20 @@ class Editor:
         return self.join.score(broken(left, right, self.bits), "join") > 0
 
     def correct(self, w: str) -> tuple[str, int] | None:
-        """The word meant by an unknown word, and the place of the slip."""
+        """The word meant by a word that is unknown or far rarer, and the place of the slip."""
         low = w.lower()
-        if self.bits.level(low) or len(low) < 3:
+        if len(low) < 3:
             return None
-        best, top = None, 0.0
-        for v, op, i in edits(low, self.ops, self.bits):
-            s = self.char.score(edit_features(low, v, op, i, self.bits), "edit")
-            if s > top:
-                best, top = (v, i), s
-        return best
+        if low not in self.meant:
+            if len(self.meant) > 500_000:
+                self.meant.clear()
+            best, top = None, 0.0
+            for v, op, i in edits(low, self.ops, self.bits):
+                s = self.char.score(edit_features(low, v, op, i, self.bits), "edit")
+                if s > top:
+                    best, top = (v, i), s
+            self.meant[low] = best
+        return self.meant[low]
 
     def slip(self, w: str) -> int | None:
         """Place of a misrecognised character in a token: a symbol or digit among letters, or a learned slip."""
@@ -420,13 +448,18 @@ def train(sample: list[tuple[str, str]], bits: Bits, names: set[str]) -> Editor:
                     break
             if found and found[2]:
                 pairs[found] += 1
-        for t in there & words:
-            if not bits.level(t):
-                kept[t] += 1
+        kept.update(t for t in there & words if len(t) > 2)
     ops = Counter((x, y) for (_, _, x, y, _), n in pairs.items() for _ in range(n))
     for (x, y), n in ops.items():
         if n >= 3:
             ed.ops.setdefault(x, []).append(y)
+    # a known word counts as a slip or as right, by which the sample has more often
+    slips = Counter()
+    for (t, *_), n in pairs.items():
+        slips[t] += n
+    char_cases = [(t, w) for t, w, *_ in pairs if not bits.level(t) or slips[t] > kept[t]]
+    char_cases += [(t, None) for t, n in kept.items() if not bits.level(t) or n >= slips[t]]
+    char_cases = [(f, gold) for t, gold in char_cases if (f := [(v, edit_features(t, v, op, i, bits)) for v, op, i in edits(t, ed.ops, bits)])]
     for _ in range(EPOCHS):
         for f, gold in line_cases:
             guess = max(("", "cabecera", "folio"), key=lambda x: ed.kind.score(f, x))  # noqa: B023
@@ -434,46 +467,45 @@ def train(sample: list[tuple[str, str]], bits: Bits, names: set[str]) -> Editor:
         for f, gold in join_cases:
             guess = "join" if ed.join.score(f, "join") > 0 else ""
             ed.join.learn((f if gold else [], "join"), (f if guess else [], "join"))
-        for (t, w, _, _, _), _ in pairs.items():
-            _learn_edit(ed, t, w)
-        for t in kept:
-            _learn_edit(ed, t, None)
+        for options, gold in char_cases:
+            _learn_edit(ed, options, gold)
     for p in (ed.kind, ed.join, ed.char):
         p.average()
     return ed
 
 
-def _learn_edit(ed: Editor, t: str, gold: str | None) -> None:
-    if ed.bits.level(t):
-        return
-    options = edits(t, ed.ops, ed.bits)
-    scored = [(ed.char.score(f := edit_features(t, v, op, i, ed.bits), "edit"), v, f) for v, op, i in options]
-    best = max(scored, key=lambda x: x[0], default=None)
-    guess = best if best and best[0] > 0 else None
+def _learn_edit(ed: Editor, options: list[tuple[str, list]], gold: str | None) -> None:
+    scored = [(ed.char.score(f, "edit"), v, f) for v, f in options]
+    best = max(scored, key=lambda x: x[0])
+    guess = best if best[0] > 0 else None
     right = next((x for x in scored if x[1] == gold), None) if gold else None
     if gold and not right:
         return
     ed.char.learn((right[2] if right else [], "edit"), (guess[2] if guess else [], "edit"))
 
 
-def editor(pages: DataFrame) -> Editor:
-    """Counts of all pages, and models of TRAIN_PAGES of them (those of smallest hash)."""
+def editor(pages: DataFrame) -> tuple[Editor, DataFrame]:
+    """Counts of all pages, models of TRAIN_PAGES of them (those of smallest hash), and the names of headers."""
     bits, names = lexicon(pages), headers(pages)
     labelled = pages.where("length(trim(texto_limpio)) > 0 and length(texto_crudo) between 1 and 20000")
     sample = labelled.orderBy(F.xxhash64("id"), "id").limit(TRAIN_PAGES).select("texto_crudo", "texto_limpio").collect()
-    return train([(r[0], r[1]) for r in sample], bits, names)
+    met = [(c,) for c in {c for r in sample for c in headings(r[0])}]
+    found = {r["c"] for r in names.join(pages.sparkSession.createDataFrame(met, "c string"), "c").collect()}  # at most those of the sample
+    return train([(r[0], r[1]) for r in sample], bits, found), names
 
 
 def judged(pages: DataFrame) -> DataFrame:
     """(id, linea, tipo) of the pages without a cleaned layer."""
     # by value: the executors need no copy of this package
-    shared = pages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(editor(pages)))
+    ed, names = editor(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(ed))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ed = pickle.loads(shared.value)
         for b in batches:
             ids, at, kind = [], [], []
-            for i, text in zip(b["id"], b["texto_crudo"], strict=True):
+            for i, text, own in zip(b["id"], b["texto_crudo"], b["names"], strict=True):
+                ed.names = set() if own is None else set(own)
                 for k, x in judge(text, ed):
                     ids.append(i)
                     at.append(k)
@@ -481,21 +513,27 @@ def judged(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "linea": pd.Series(at, dtype="int32"), "tipo": pd.Series(kind, dtype="object")})
 
     bare = pages.where("texto_crudo is not null and (texto_limpio is null or texto_limpio = '')").select("id", "texto_crudo")
-    return bare.mapInPandas(rows, "id long, linea int, tipo string")
+    return with_names(bare, names).mapInPandas(rows, "id long, linea int, tipo string")
 
 
 def repaired(pages: DataFrame) -> DataFrame:
     """(id, texto): readable paragraphs of every page, the cleaned layer's where there is one."""
     # by value: the executors need no copy of this package
-    shared = pages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(editor(pages)))
+    ed, names = editor(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(ed))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ed = pickle.loads(shared.value)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "texto": [repair(t, ed) for t in b["texto_crudo"]]})
+            out = []
+            for text, own in zip(b["texto_crudo"], b["names"], strict=True):
+                ed.names = set() if own is None else set(own)
+                out.append(repair(text, ed))
+            yield pd.DataFrame({"id": b["id"], "texto": out})
 
     has = F.length(F.trim(F.coalesce("texto_limpio", F.lit("")))) > 0
-    mended = pages.where(~has & F.col("texto_crudo").isNotNull()).select("id", "texto_crudo").mapInPandas(rows, "id long, texto string")
+    mended = pages.where(~has & F.col("texto_crudo").isNotNull()).select("id", "texto_crudo")
+    mended = with_names(mended, names).mapInPandas(rows, "id long, texto string")
     return mended.unionByName(pages.where(has).select("id", F.col("texto_limpio").alias("texto")))
 
 

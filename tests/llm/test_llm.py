@@ -258,6 +258,23 @@ def test_scanned_pages(spark):
     assert ocrtext.judged(df.limit(0)).count() == 0
 
 
+def test_slips_that_cleaned_layers_repeat(spark):
+    """A misreading that stands in cleaned layers is still one, if its correction is far more frequent; a rare word is none."""
+    right = "Es nuestro el jardín de la casa grande, y la loma queda lejos."
+    rows = [(i, right.replace("nuestro", "nuesfro") if i % 2 else right, right) for i in range(240)]
+    rows += [(400 + i, None, "Es nuesfro el jardín.") for i in range(5)]
+    rows += [(500, "La loma queda lejos.\nEs nuesfro el jardín.", None)]
+    df = spark.createDataFrame(rows, "id long, texto_crudo string, texto_limpio string")
+    assert {(r["linea"], r["tipo"]) for r in ocrtext.judged(df).collect()} == {(2, "caracter")}
+    text = {r["id"]: r["texto"] for r in ocrtext.repaired(df).collect()}
+    assert text[500] == "La loma queda lejos. Es nuestro el jardín."
+
+
+def test_rare_headers_of_large_tables(spark):
+    pages = spark.range(100_003).select("id", F.when(F.col("id") < 3, "EL FARO DEL SUR\nuna línea").otherwise("una línea").alias("texto_crudo"))
+    assert "EL FARO DEL SUR".replace(" ", "").replace("L", "I") in {r["c"] for r in ocrtext.headers(pages).collect()}
+
+
 # 8: tokenizer
 
 
