@@ -113,6 +113,15 @@ def test_names_link(spark):
     ]
 
 
+def test_given_names_of_large_tables(spark):
+    """Given names are learned though the words after them are few and the people many."""
+    word = lambda kind, i: kind + "bcdfghjlmnprstvz"[i] + "al"
+    rows = [(f"{word('gi', i)} {word('uno', j)} {word('dos', k)}", "personas") for i in range(16) for j in range(12) for k in range(14)]
+    lex = names.learn(spark.createDataFrame(rows, "nombre string, categoria string"))
+    plain = names.learn(spark.createDataFrame([], "nombre string, categoria string"))
+    assert set(lex.given) - set(plain.given) == {word("gi", i) for i in range(16)}
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_segment_join_equals_brute_force(spark, k):
     rng = random.Random(k)
