@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def unaccented(c: Column) -> Column:
     return F.translate(c, "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
 
 
+_MARKED = {chr(i): unicodedata.normalize("NFD", chr(i)) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(a, b)}
+_MARKED = {c: x[0] for c, x in _MARKED.items() if len(x) > 1 and all(map(unicodedata.combining, x[1:]))}
+
+
+def stripped(c: Column) -> Column:
+    """Latin letters of both cases without any of their accents, composed or combining."""
+    return F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{Mn}", "")
+
+
 def plain(c: Column) -> Column:
     """lower case without accents, single spaces."""
     low = unaccented(F.lower(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telarium.functions.text import unaccented
+from telarium.functions.text import stripped
 from telarium.operators.similarity import word_distance
 from telarium.plans.registry import Plan
 
@@ -45,24 +45,23 @@ _NORM = r"strip_accents(lower(trim(regexp_replace(regexp_replace({c}, '([\p{{L}}
 def cer_norm(c: str):
     """hyphen breaks joined, single spaces, lower case, no accents."""
     x = F.regexp_replace(F.regexp_replace(c, r"([\p{L}])[-¬]\s*\n\s*", "$1"), r"\s+", " ")
-    return unaccented(F.lower(F.trim(x)))
+    return stripped(F.lower(F.trim(x)))
 
 
 @q("f29_cer_normaliser", "select id, " + _NORM.format(c="texto_crudo") + " as texto from ocr where texto_crudo is not null and regexp_full_match(strip_accents(texto_crudo), '[ -~\\n«»¿¡—¬·­]*')".replace("­", ""), "ocr")
 def normaliser(ocr: DataFrame) -> DataFrame:
-    x = ocr.where("texto_crudo is not null").withColumn("p", F.translate(unaccented(F.col("texto_crudo")), "ÁÉÍÓÚÜÑ", "AEIOUUN"))
-    return x.where(F.col("p").rlike(r"\A[ -~\n«»¿¡—¬·]*\z")).select("id", cer_norm("texto_crudo").alias("texto"))
+    """Every page, whatever its characters."""
+    return ocr.where("texto_crudo is not null").select("id", cer_norm("texto_crudo").alias("texto"))
 
 
 _REF = "r as (select id, motor, confianza, case when confianza >= 0.6 then 'alta' else 'baja' end as calidad, translate(" + _NORM.format(c="texto_limpio") + ", '«»¿¡—¬·', '<>?!---') as ref, translate(" + _NORM.format(c="coalesce(texto_crudo, '')") + ", '«»¿¡—¬·', '<>?!---') as hyp from ocr where texto_limpio <> ''), o as (select * from r where regexp_full_match(ref || hyp, '[ -~]*'))"
 
 
 def references(ocr: DataFrame) -> DataFrame:
-    """Cleaned layers as references and raw ones as hypotheses; a missing hypothesis is empty."""
+    """Cleaned layers as references and raw ones as hypotheses; a missing hypothesis is empty, no page is left out."""
     n = lambda c: F.translate(cer_norm(c), "«»¿¡—¬·", "<>?!---")
     r = ocr.where("texto_limpio <> ''").withColumn("texto_crudo", F.coalesce("texto_crudo", F.lit("")))
-    r = r.select("id", "motor", F.when(F.col("confianza") >= 0.6, "alta").otherwise("baja").alias("calidad"), n("texto_limpio").alias("ref"), n("texto_crudo").alias("hyp"))
-    return r.where(F.concat("ref", "hyp").rlike(r"\A[ -~]*\z"))
+    return r.select("id", "motor", F.when(F.col("confianza") >= 0.6, "alta").otherwise("baja").alias("calidad"), n("texto_limpio").alias("ref"), n("texto_crudo").alias("hyp"))
 
 
 @q("a52_cer", f"with {_REF} select motor, count(*) as paginas, sum(levenshtein(ref, hyp)) as errores, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 4) as cer from o group by 1", "ocr")

@@ -63,18 +63,17 @@ def nearest_seeds(docs: DataFrame) -> DataFrame:
 @q("f28_bounded_levenshtein", "select nombre, nombre_nuevo, case when abs(length(nombre) - length(nombre_nuevo)) > 3 then 99 else levenshtein(strip_accents(nombre), strip_accents(nombre_nuevo)) end as d from revision_entidades where nombre_nuevo <> '' and regexp_full_match(strip_accents(nombre || nombre_nuevo), '[ -~]*')", "revision_entidades")
 def bounded(rev: DataFrame) -> DataFrame:
     """99 where the lengths differ by more than three."""
-    from telarium.functions.text import unaccented
+    from telarium.functions.text import stripped
 
-    up = lambda c: F.translate(unaccented(F.col(c)), "ÁÉÍÓÚÜÑ", "AEIOUUN")
-    x = rev.where("nombre_nuevo <> ''").withColumn("a", up("nombre")).withColumn("b", up("nombre_nuevo")).where(F.concat("a", "b").rlike("^[ -~]*$"))
+    x = rev.where("nombre_nuevo <> '' and nombre is not null").withColumn("a", stripped(F.col("nombre"))).withColumn("b", stripped(F.col("nombre_nuevo")))
     return x.select("nombre", "nombre_nuevo", F.when(F.abs(F.length("nombre") - F.length("nombre_nuevo")) > 3, 99).otherwise(F.levenshtein("a", "b")).alias("d"))
 
 
 @q("f27_levenshtein", "select texto_norm, lower(strip_accents(wikidata_lbl)) as etiqueta, levenshtein(texto_norm, lower(strip_accents(wikidata_lbl))) as d from autoridades_cache where wikidata_lbl is not null and regexp_full_match(texto_norm || strip_accents(wikidata_lbl), '[ -~]*')", "autoridades_cache")
 def levenshtein(aut: DataFrame) -> DataFrame:
-    from telarium.functions.text import unaccented
+    from telarium.functions.text import stripped
 
-    x = aut.where("wikidata_lbl is not null").withColumn("etiqueta", unaccented(F.lower("wikidata_lbl"))).where(F.concat("texto_norm", "etiqueta").rlike("^[ -~]*$"))
+    x = aut.where("wikidata_lbl is not null and texto_norm is not null").withColumn("etiqueta", stripped(F.lower("wikidata_lbl")))
     return x.select("texto_norm", "etiqueta", F.levenshtein("texto_norm", "etiqueta").alias("d"))
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from telarium.functions import text as T
 from telarium.operators import affect, cleaning, graph, lexical, similarity
+from telarium.plans import evaluation
+from telarium.plans import similarity as similarity_plans
 from telarium.plans import text as text_plans
 from telarium.sources import files
 
@@ -134,3 +136,14 @@ def test_empty_tables(spark):
     assert lexical.frequencies(df).count() == 0 and lexical.ngrams(df, 2).count() == 0
     assert lexical.collocates(df, "x", 5, 5).count() == 0
     assert similarity.cosine_pairs(similarity.tfidf(df), 0.8).count() == 0
+
+
+def test_error_rates_keep_every_page(spark):
+    """Pages with characters beyond ASCII count too: soft hyphens, accents of any kind, other scripts."""
+    rows = [(1, "Canción añeja", "Canción añeja"), (2, "la casa", "la ca\u00adsa"), (3, "la cȧsà é", "la casa e\u0301"), (4, "mar", "мar"), (5, "sol", None)]
+    df = spark.createDataFrame([(i, "m", 0.9, ref, hyp) for i, ref, hyp in rows], "id long, motor string, confianza double, texto_limpio string, texto_crudo string")
+    assert {(r["paginas"], r["errores"]) for r in evaluation.cer(df).collect()} == {(5, 0 + 1 + 0 + 1 + 3)}
+    assert {r["id"]: r["texto"] for r in evaluation.normaliser(df).collect()} == {1: "cancion aneja", 2: "la ca\u00adsa", 3: "la casa e", 4: "мar"}
+    assert evaluation.split_merge(df).count() == 5
+    names = spark.createDataFrame([("Casa\u00a0Á", "Casa A"), ("“Luz”", "Luz")], "nombre string, nombre_nuevo string")
+    assert sorted(r["d"] for r in similarity_plans.bounded(names).collect()) == [1, 2]
