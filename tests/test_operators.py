@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from telarium.functions import text as T
-from telarium.operators import affect, cleaning, graph, lexical, similarity
+from telarium.operators import affect, cleaning, graph, lexical, sequence, similarity
 from telarium.plans import evaluation
+from telarium.plans import sequence as sequence_plans
 from telarium.plans import similarity as similarity_plans
 from telarium.plans import text as text_plans
 from telarium.sources import files
@@ -147,3 +148,20 @@ def test_error_rates_keep_every_page(spark):
     assert evaluation.split_merge(df).count() == 5
     names = spark.createDataFrame([("Casa\u00a0Á", "Casa A"), ("“Luz”", "Luz")], "nombre string, nombre_nuevo string")
     assert sorted(r["d"] for r in similarity_plans.bounded(names).collect()) == [1, 2]
+
+
+def test_zone_iou_equals_brute_force(spark):
+    """Every zone is matched, against its neighbours too; the last wins on ties."""
+    text = "una línea larga de la página que sigue\n  otra más corta\n\ncuatro\n" + "x" * 70 + "\n fin"
+    df = spark.createDataFrame([(1, text), (2, "sola"), (3, None), (4, "")], "id long, texto_crudo string")
+    z = [(r["id"], r["k"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in sequence.zones(df).collect()]
+    expected = {}
+    for i, k, *b in z:
+        for j, m, x0, y0, x1, y1 in z:
+            c = (x0, y0 - (y1 - y0) / 4, x1, y1)
+            inter = max(0, min(b[2], c[2]) - max(b[0], c[0])) * max(0, min(b[3], c[3]) - max(b[1], c[1]))
+            union = (b[2] - b[0]) * (b[3] - b[1]) + (c[2] - c[0]) * (c[3] - c[1]) - inter
+            if i == j and union > 0 and inter / union >= 0.5:
+                expected[i, k] = max(expected.get((i, k), (0, 0, 0)), (round(inter / union, 6), m, round(inter / union, 4)))
+    got = {(r["id"], r["a"]): (r["b"], r["iou"]) for r in sequence_plans.zone_iou(df).collect()}
+    assert got == {k: v[1:] for k, v in expected.items()} and len(got) == 6
