@@ -31,7 +31,7 @@ def intertextual(docs: DataFrame) -> DataFrame:
 
 @q("j6_duplicate_pairs", f"with {sql_tokens(4)}, s as (select doc_id, list_distinct(t) as t from tok where len(list_distinct(t)) >= 20), e as (select doc_id, len(t) as n, unnest(t) as w from s), c as (select a.doc_id as a, b.doc_id as b, count(*) / least(any_value(a.n), any_value(b.n)) as c from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c, 4) as coef from c where round(c, 4) >= 0.8", "documents")
 def duplicate_pairs(docs: DataFrame) -> DataFrame:
-    return S.overlap_pairs(toks(docs, 4), 0.8)
+    return S.overlap_pairs(toks(docs, 4), 0.5)
 
 
 _J18 = f"with {sql_tokens(4)}, c as (select w, count(*) as n from (select unnest(t) as w from tok) group by w), e as (select *, translate(w, 'áéíóúüñ', '1234567') as f from c), p as (select r.w as r, g.w as g, g.n as gn, levenshtein(r.f, g.f) as d from e r join e g on r.n < 5 and g.n >= 5 and abs(length(r.w) - length(g.w)) <= 2), k as (select *, row_number() over (partition by r order by gn desc, d, g) as puesto from p where d <= 2) select r as palabra, g as sugerencia, d, puesto from k where puesto <= 5"

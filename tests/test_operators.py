@@ -165,3 +165,13 @@ def test_zone_iou_equals_brute_force(spark):
                 expected[i, k] = max(expected.get((i, k), (0, 0, 0)), (round(inter / union, 6), m, round(inter / union, 4)))
     got = {(r["id"], r["a"]): (r["b"], r["iou"]) for r in sequence_plans.zone_iou(df).collect()}
     assert got == {k: v[1:] for k, v in expected.items()} and len(got) == 6
+
+
+def test_overlap_pairs_of_short_texts_equal_brute_force(spark):
+    from itertools import combinations
+
+    docs = [f"{a} {b}" for a, b in combinations(["casa grande", "puerta", "jardín viejo", "camino", "lejos", "maestro canta"], 2)] + ["", "casa", "sol y mar", None]
+    df = spark.createDataFrame([(i, d, None, None, None, None) for i, d in enumerate(docs)], "doc_id long, text string, source string, lang string, anio int, publicacion string")
+    words = {i: {w for w in d.split() if len(w) >= 4} for i, d in enumerate(docs) if d}
+    expected = {(a, b): round(len(x & y) / min(len(x), len(y)), 4) for (a, x), (b, y) in combinations(words.items(), 2) if x and y and 2 * len(x & y) >= min(len(x), len(y))}
+    assert {(r["a"], r["b"]): r["coef"] for r in similarity_plans.duplicate_pairs(df).collect()} == expected
