@@ -41,12 +41,13 @@ def nmf(toks: DataFrame, k: int = 5) -> DataFrame:
 
 
 def char_vectors(docs: DataFrame, size: int = 3000) -> DataFrame:
-    """M4: (doc_id, v): unit vectors of character n-grams of two to four inside words, sublinear."""
+    """M4: (doc_id, v): unit vectors of character n-grams of two to four inside words, sublinear; a word counts as often as it stands."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
     grams = F.flatten(
         F.transform(
-            F.array_distinct(w),
-            lambda x: F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.length(x) + 2 - (n - 1)), lambda i: F.substring(F.concat(F.lit(" "), x, F.lit(" ")), i, F.lit(n))) for n in (2, 3, 4) if n <= 3))),
+            w,
+            # the start at the first letter of a word shorter than n is dropped
+            lambda x: F.flatten(F.array(*(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) + 3 - n)), lambda i: F.substring(F.concat(F.lit(" "), x, F.lit(" ")), i, F.lit(n))), lambda g: F.length(g) == n) for n in (2, 3, 4)))),
         )
     )
     t = docs.where("length(text) > 0").select("doc_id", grams.alias("x"))
@@ -75,7 +76,7 @@ def pca(vectors: DataFrame) -> DataFrame:
     return p.select("doc_id", F.round(F.get("p", F.lit(0)), 4).alias("x"), F.round(F.get("p", F.lit(1)), 4).alias("y"))
 
 
-def word2vec(toks: DataFrame, size: int = 50, steps: int = 2):
+def word2vec(toks: DataFrame, size: int = 150, steps: int = 12):
     """M9: the fitted model."""
     return Word2Vec(vectorSize=size, windowSize=6, minCount=3, maxIter=steps, seed=SEED, inputCol="t", outputCol="v").fit(toks.where(F.size("t") > 0))
 

@@ -1,10 +1,12 @@
 """Micro fixtures with results derived by hand."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from telarium.functions import text as T
-from telarium.operators import affect, cleaning, graph, lexical, sequence, similarity
+from telarium.operators import affect, cleaning, graph, lexical, models, sequence, similarity
 from telarium.plans import evaluation
 from telarium.plans import sequence as sequence_plans
 from telarium.plans import similarity as similarity_plans
@@ -175,3 +177,22 @@ def test_overlap_pairs_of_short_texts_equal_brute_force(spark):
     words = {i: {w for w in d.split() if len(w) >= 4} for i, d in enumerate(docs) if d}
     expected = {(a, b): round(len(x & y) / min(len(x), len(y)), 4) for (a, x), (b, y) in combinations(words.items(), 2) if x and y and 2 * len(x & y) >= min(len(x), len(y))}
     assert {(r["a"], r["b"]): r["coef"] for r in similarity_plans.duplicate_pairs(df).collect()} == expected
+
+
+def test_char_vectors_equal_a_count_by_hand(spark):
+    """Two to four characters of every word, repetitions included, before the weights of documents."""
+    import math
+
+    texts = ["la casa y la cosa la", "el sol", "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [Counter(f" {w} "[i : i + n] for w in t.split() for n in (2, 3, 4) for i in range(len(w) + 3 - n)) for t in texts]
+    seen = Counter(g for c in grams for g in c)
+    got = {r["doc_id"]: sorted(round(x, 6) for x in r["v"].toArray() if x) for r in models.char_vectors(df, 1 << 18).collect()}
+    for i, c in enumerate(grams):
+        v = [(1 + math.log(n)) * math.log(4 / (seen[g] + 1)) for g, n in c.items()]
+        assert got[i] == sorted(round(x / math.sqrt(sum(y * y for y in v)), 6) for x in v if x)
+
+
+def test_word2vec_has_the_size_of_the_survey(spark):
+    m = models.word2vec(spark.createDataFrame([(["uno", "dos"] * 3,)], "t array<string>"))
+    assert (len(m.getVectors().first()["vector"]), m.getMaxIter(), m.getWindowSize(), m.getMinCount()) == (150, 12, 6, 3)
