@@ -329,6 +329,39 @@ def test_mixture_reaches_shares(spark):
     assert mixture.mix(df.limit(0), goal).count() == 0
 
 
+def test_scarce_sources_saturate(spark):
+    """A source with one short document takes its cap and no more; the rest of the mix stays as large."""
+    rng = random.Random(99)
+    docs = [(i, " ".join(["palabra"] * rng.randint(5, 60)), s) for s, n in (("a", 900), ("b", 700), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame([(k, *d[1:]) for k, d in enumerate(docs)], "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 5), ("nadie", 0.0, 5)], "source string, peso double, max_repeticiones int")
+    sizes = mixture.sizes(df, goal).groupBy("source").sum("x").collect()
+    supply = {r[0]: r[1] for r in sizes}
+    got = {r["source"]: r for r in mixture.shares(mixture.mix(df, goal), goal).collect()}
+    assert got["c"]["tokens"] == 5 * supply["c"] and got["c"]["max_copias"] == 5
+    total = sum(r["tokens"] for r in got.values())
+    assert abs(total - sum(supply.values())) < 0.01 * total
+    for s, w in (("a", 0.5), ("b", 0.3)):
+        assert abs(got[s]["tokens"] - (sum(supply.values()) - got["c"]["tokens"]) * w / 0.8) < 0.01 * total
+    assert got["c"]["falta"] > 0.19 and got["nadie"]["tokens"] == 0
+    assert all(r["max_copias"] <= r["max_repeticiones"] for r in got.values())
+
+
+def test_goals_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        names = "abcdef"[: rng.randint(1, 6)]
+        supply = {s: float(rng.randint(1, 1000)) for s in names}
+        weight = {s: rng.random() + 0.01 for s in names}
+        most = {s: supply[s] * rng.randint(1, 5) for s in names}
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level at which min(most, weight * level) fills the total
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(most[s], weight[s] * level) for s in names) < sum(supply.values()) else (low, level)
+        got = mixture.goals(supply, most, weight)
+        assert all(abs(got[s] - min(most[s], weight[s] * high)) < 1e-6 * max(1, got[s]) for s in names)
+
+
 # 10: residue
 
 
