@@ -1,9 +1,12 @@
 """Problem 1: duplicates hidden by formatting, kept in an incremental ledger.
 
-The ledger is a table with one row per canonical key: (bucket, key, copies, first_id). A batch is
-aggregated by key (map-side first, so a key with a third of all rows moves one partial row per task),
-full-outer-joined with those buckets of the ledger that it touches, its counts are added and the
-smallest id is kept. Buckets that a batch doesn't touch are neither read nor rewritten.
+A ledger is a folder: one row per canonical key (table, key, copies, first_id) in bucket folders, and a
+manifest for each update that says which version of each bucket holds. The number of buckets is chosen when
+the ledger is made and stored with it. A batch is aggregated by key (map-side first, so a key with a third of
+all rows moves one partial row per task) and full-outer-joined with those buckets of the ledger that it
+touches; counts are added and the smallest id is kept. Touched buckets are written anew, a bucket by several
+tasks; the others are neither read nor rewritten. The manifest is written last, so an update that dies
+leaves the ledger as it was.
 
 Defined results: a null text is no record and is left out; a null in a scope column is a value of its
 own (nulls agree with each other); a text without letters and digits has the empty key and agrees
@@ -15,13 +18,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telarium.session import materialise, read
+from telarium.session import materialise, read, table_path
 
 WORD = r"\p{L}\p{M}\p{Nd}"
-BUCKETS = 64
+BUCKET_BYTES = 128 << 20  # of a batch for which a bucket is made, 16 buckets at least
+SPLITS = 8  # tasks that write one bucket, at most
+BATCHES = 3
+ROW = "tabla string, key binary, copies long, first_id long"
 
 
 def _words(c: Column) -> Column:
@@ -44,53 +50,89 @@ def canonical(c: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str, text: str, scope: list[str], table: str) -> DataFrame:
-    """(bucket, key, id): the 128-bit key of scope and canonical text; buckets are those of one table."""
+    """(tabla, key, id): the 128-bit key of table, scope and canonical text of each record."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("!")) for c in scope]
     key = F.unhex(F.md5(F.concat_ws("\u001e", F.lit(table), *parts, canonical(F.col(f"`{text}`")))))
-    rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), key.alias("key"))
-    bucket = F.concat(F.lit(f"{table}-"), F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("string"))
-    return rows.select(bucket.alias("bucket"), "key", "id")
-
-
-def aggregate_batch(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
-
-
-def update(ledger: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """The ledger after one more batch; written, so that it can be the next call's input."""
-    batch = aggregate_batch(rows)
-    if ledger is None:
-        return _write(batch)
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS a table
-    old = ledger.where(F.col("bucket").isin(touched)) if touched else ledger.limit(0)
-    if touched and old.isEmpty():
-        merged = batch
-    else:
-        o, b = old.alias("o"), batch.alias("b")
-        merged = o.join(b, ["bucket", "key"], "full_outer").select(
-            "bucket",
-            "key",
-            (F.coalesce(F.col("o.copies"), F.lit(0)) + F.coalesce(F.col("b.copies"), F.lit(0))).alias("copies"),
-            F.least("o.first_id", "b.first_id").alias("first_id"),
-        )
-    new = _write(merged)
-    rest = ledger.where(~F.col("bucket").isin(touched)) if touched else ledger
-    return rest.unionByName(new)
-
-
-def _write(df: DataFrame) -> DataFrame:
-    return materialise(df.repartition("bucket"), "ledger", partition_by=["bucket"])
-
-
-def copies(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id_conservado, id_copia) of the rows of a batch that the ledger holds under an earlier id.
+    rows = df.where(F.col(f"`{text}`").isNotNull())
+    return rows.select(F.lit(table).alias("tabla"), key.alias("key"), F.col(f"`{id_col}`").alias("id"))
+
+
+class Ledger:
+    """A stored ledger at a path; make it with create, find it again with open."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, version: int, live: dict[int, int]):
+        self.spark, self.path, self.buckets, self.version = spark, path, buckets, version
+        self.live = live  # bucket -> version; at most `buckets` entries
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int) -> Ledger:
+        new = cls(spark, path, buckets, 0, {})
+        new._commit()
+        return new
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        rows = spark.read.parquet(f"{path}/manifest")
+        last = rows.agg(F.max("v")).first()[0]
+        held = rows.where(F.col("v") == last).collect()  # one row a bucket
+        return cls(spark, path, held[0]["buckets"], last, {r["bucket"]: r["part"] for r in held if r["bucket"] is not None})
+
+    def _commit(self) -> None:
+        rows = [(self.buckets, b, v) for b, v in self.live.items()] or [(self.buckets, None, None)]
+        df = self.spark.createDataFrame(rows, "buckets int, bucket int, part int").coalesce(1)
+        df.write.mode("overwrite").parquet(f"{self.path}/manifest/v={self.version}")
+
+    def table(self, of: list[int] | None = None) -> DataFrame:
+        """(bucket, tabla, key, copies, first_id) of the given or all buckets."""
+        paths = [f"{self.path}/parts/part={v}/bucket={b}" for b, v in self.live.items() if of is None or b in of]
+        kind = f"{ROW}, bucket int"
+        if not paths:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).option("basePath", f"{self.path}/parts").parquet(*paths)
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+
+    def update(self, rows: DataFrame) -> Ledger:
+        """The ledger after one more batch (tabla, key, id)."""
+        rows = self.bucketed(rows)
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return self
+        on = ["bucket", "tabla", "key"]
+        b = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).alias("b")
+        o = self.table(touched).alias("o")
+        added = F.coalesce(F.col("o.copies"), F.lit(0)) + F.coalesce(F.col("b.copies"), F.lit(0))
+        merged = o.join(b, on, "full_outer").select(*on, added.alias("copies"), F.least("o.first_id", "b.first_id").alias("first_id"))
+        version = self.version + 1
+        spread = merged.repartition("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SPLITS)))
+        spread.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/parts/part={version}")
+        new = Ledger(self.spark, self.path, self.buckets, version, self.live | dict.fromkeys(touched, version))
+        new._commit()
+        return new
+
+    def vacuum(self) -> None:
+        """Deletes versions of buckets that the ledger no longer holds; for when nobody reads older states."""
+        sc = self.spark.sparkContext
+        root = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
+        fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+        for part in fs.listStatus(root) if fs.exists(root) else ():
+            v = int(part.getPath().getName().partition("=")[2])
+            for bucket in fs.listStatus(part.getPath()):
+                name, _, b = bucket.getPath().getName().partition("=")
+                if name == "bucket" and self.live.get(int(b)) != v:
+                    fs.delete(bucket.getPath(), True)
+
+
+def copies(ledger: Ledger, rows: DataFrame) -> DataFrame:
+    """(tabla, id_conservado, id_copia) of the rows that the ledger holds under an earlier id.
 
     Rows are joined with the keys that have copies; adaptive execution splits a hot key's rows, as the
     ledger's side has one row a key.
     """
-    many = ledger.where("copies > 1").select("key", "first_id")
-    found = rows.select("key", "id").join(many, "key").where("id > first_id")
-    return found.select(F.col("first_id").alias("id_conservado"), F.col("id").alias("id_copia"))
+    many = ledger.table().where("copies > 1").select("key", "first_id")
+    found = rows.select("tabla", "key", "id").join(many, "key").where("id > first_id")
+    return found.select("tabla", F.col("first_id").alias("id_conservado"), F.col("id").alias("id_copia"))
 
 
 TABLES = {
@@ -99,30 +141,32 @@ TABLES = {
 }
 
 
-def build(spark, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The ledger after each of the two tables as a batch, and the keyed rows."""
-    ledger, rows = None, {}
+def build(spark, sf_dir: str) -> tuple[Ledger, DataFrame]:
+    """The ledger of both tables, delivered in BATCHES ranges of ids, and the keyed rows."""
+    rows, size = [], 0
     for table, (id_col, text, scope) in TABLES.items():
-        rows[table] = keyed(read(spark, sf_dir, table), id_col, text, scope, table)
-        ledger = update(ledger, rows[table])
-    return ledger, rows
+        df = read(spark, sf_dir, table)
+        low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+        low, wide = low or 0, (high or 0) - (low or 0) + 1
+        batch = F.floor((F.col("id") - F.lit(low)) * F.lit(float(BATCHES)) / F.lit(float(wide))).cast("int")
+        rows.append(keyed(df, id_col, text, scope, table).withColumn("lote", batch))
+        size += int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    keys = materialise(reduce(DataFrame.unionByName, rows), "claves", partition_by=["lote"])
+    ledger = Ledger.create(spark, table_path(spark, "ledger"), max(16, size // BUCKET_BYTES))
+    for i in range(BATCHES):
+        ledger = ledger.update(keys.where(F.col("lote") == i).select("tabla", "key", "id"))
+        ledger.vacuum()  # no earlier state is read
+    return ledger, keys
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    ledger, rows = build(spark, sf_dir)
-    parts = [
-        copies(ledger.where(F.col("bucket").startswith(f"{t}-")), r).select(F.lit(t).alias("tabla"), "id_conservado", "id_copia")
-        for t, r in rows.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return copies(*build(spark, sf_dir))
 
 
 def p1_ledger(spark, sf_dir: str) -> DataFrame:
     """One row per record with its number of copies and its earliest id."""
     ledger, _ = build(spark, sf_dir)
-    return ledger.select(
-        F.split("bucket", "-")[0].alias("tabla"), F.lower(F.hex("key")).alias("clave"), "copies", "first_id"
-    )
+    return ledger.table().select("tabla", F.lower(F.hex("key")).alias("clave"), "copies", "first_id")
 
 
 _SQL_FIELD = r"""

@@ -39,18 +39,39 @@ def test_canonical(spark, a, b, equal):
     assert (k[0] == k[1]) == equal
 
 
-def test_ledger_increments(spark):
+def test_ledger_increments(spark, tmp_path):
     kind = "id long, t string, s string, extra int, key int"
     rows = [(5, "A b", "x", 1, 1), (2, "a B!", "x", 1, 1), (3, "a b", None, 1, 1), (9, "A. B", None, 1, 1), (4, None, "x", 1, 1), (7, "otro", "x", 1, 1)]
     df = spark.createDataFrame(rows, kind)
-    whole = ledger.update(None, ledger.keyed(df, "id", "t", ["s"], "t"))
-    step = None
+    keys = lambda x: ledger.keyed(x, "id", "t", ["s"], "t")
+    whole = ledger.Ledger.create(spark, f"{tmp_path}/whole", 3).update(keys(df))
+    step = ledger.Ledger.create(spark, f"{tmp_path}/step", 5)
     for part in (df.where("id in (5, 3)"), df.where("id in (2, 7)"), df.where("id in (9, 4)"), df.where("id < 0")):
-        step = ledger.update(step, ledger.keyed(part, "id", "t", ["s"], "t"))
-    view = lambda x: sorted((r["copies"], r["first_id"]) for r in x.collect())
+        step = ledger.Ledger.open(spark, f"{tmp_path}/step").update(keys(part))
+        step.vacuum()
+    step = ledger.Ledger.open(spark, f"{tmp_path}/step")
+    assert (step.buckets, step.version) == (5, 3)
+    view = lambda x: sorted((r["copies"], r["first_id"]) for r in x.table().collect())
     assert view(whole) == view(step) == [(1, 7), (2, 2), (2, 3)]
-    found = ledger.copies(step, ledger.keyed(df, "id", "t", ["s"], "t")).collect()
-    assert {tuple(r) for r in found} == {(2, 5), (3, 9)}
+    found = ledger.copies(step, keys(df)).collect()
+    assert {tuple(r) for r in found} == {("t", 2, 5), ("t", 3, 9)}
+
+
+def test_ledger_any_batching(spark, tmp_path):
+    """Whatever the batches and their order, the ledger is the same as one count by key, and joins with what it holds."""
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a b", "A-B", "c", "C.", "d; e", "E|d", "", "¡!", "f"]), rng.choice("xy")) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    canon = lambda t: tuple(sorted(" ".join("".join(c if c.isalnum() else " " for c in f).split()) for f in t.lower().replace("|", ";").split(";")))
+    want = defaultdict(list)
+    for i, t, s in rows:
+        want[canon(t), s].append(i)
+    want = sorted((len(v), min(v)) for v in want.values())
+    for n, order in ((1, [0]), (4, [2, 0, 3, 1])):
+        step = ledger.Ledger.create(spark, f"{tmp_path}/l{n}", 4)
+        for k in order:
+            step = step.update(ledger.keyed(df.where(F.col("id") % n == k), "id", "t", ["s"], "t"))
+        assert sorted((r["copies"], r["first_id"]) for r in step.table().collect()) == want
 
 
 # 2: near-duplicate sets
