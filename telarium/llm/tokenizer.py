@@ -1,12 +1,13 @@
 """Problem 8: the corpus as ids of a byte-level tokenizer, in Spark higher-order functions.
 
-The rank map is one literal: an array of small maps, found by crc32 of the piece. Each distinct word is
-encoded once by a fold that merges the adjacent pair of lowest rank over its array of byte pieces; words
-over LONG bytes take the same merges through a heap in Python, as the fold is quadratic. Ids are put
-into the documents by a join with the dictionary of words: the HOT most frequent words are broadcast
-(HOT x 4 x LONG bytes at most), so that nearly all occurrences stay where they were read, and only
-occurrences of the other words are shuffled. Decoding looks pieces up in a literal array and
-concatenates the binaries.
+The rank map is one literal: an array of small maps, found by crc32 of the piece. A word is encoded by a
+fold that merges the adjacent pair of lowest rank over its array of byte pieces; each step ranks only the two
+pairs that it makes. The words of the corpus are counted, and those of the most frequent (HOT at most, of
+HOT_BYTES each) are folded once; they go into the plan as a second literal of the same form. A document is then
+encoded where it was read: its words are looked up in that literal, and a word that isn't there is folded on the
+spot. So nothing but counts of distinct words is shuffled, and every document takes the same way, but for those
+with a word over LONG bytes, for which the fold is too slow: they take the same merges through a heap in
+Python. Decoding looks pieces up in a literal array and concatenates the binaries.
 
 Defined results: null, empty text -> an empty list; every row gives one row, repeated rows included;
 special tokens' strings are ordinary text; extra columns are ignored.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from telarium.session import materialise, read, short_plans
 
 BUCKETS = 1 << 14
-LONG = 40
-HOT = 50_000
+LONG = 4096
+HOT, HOT_BYTES = 50_000, 40
 # Fixed value: the split pattern of the tokenizer, here with Unicode white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -63,35 +64,36 @@ def encode_word(word: Column, table: Column) -> Column:
 
 
 def _fold(word: Column, table: Column) -> Column:
-    """Ranked merges over the bytes of the word."""
+    """Ranked merges over the bytes of the word; a piece carries the rank of its pair with the next one."""
     data = F.encode(word, "utf-8")
-    whole = _rank(table, data)
     none = F.lit(2147483647)
-    start = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.substring(data, i, F.lit(1)))
+    rank = lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), none)
+    byte = lambda i: F.substring(data, i, F.lit(1))
+    last = F.octet_length(data)
+    pair = lambda i: F.when(i < last, rank(byte(i), byte(i + 1))).otherwise(none)
+    item = lambda r, p: F.struct(r.alias("r"), p.alias("p"))
+    start = F.transform(F.sequence(F.lit(1), last), lambda i: item(pair(i), byte(i)))
 
     def step(acc: Column, _: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(acc) - 1)
-        pairs = F.transform(
-            at,
-            lambda j: F.struct(
-                F.coalesce(_rank(table, F.concat(F.get(acc, j - 1), F.get(acc, j))), none).alias("r"), j.alias("j")
-            ),
-        )
-
-        def merge(best: Column) -> Column:
-            j = best["j"]
-            return F.when(best["r"] == none, acc).otherwise(
-                F.concat(
-                    F.slice(acc, F.lit(1), j - 1),
-                    F.array(F.concat(F.get(acc, j - 1), F.get(acc, j))),
-                    F.slice(acc, j + 2, F.size(acc)),
-                )
-            )
-
-        return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(F.array_min(pairs)), merge), F.lit(0)))
-
-    pieces = F.aggregate(F.sequence(F.lit(1), F.octet_length(data)), start, step)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(pieces, lambda p: _rank(table, p)))
+        best = F.array_min(F.transform(acc, lambda x, j: F.struct(x["r"].alias("r"), j.alias("j"))))
+
+        def merge(b: Column) -> Column:
+            j = b["j"]
+            before, here, right, after = (F.get(acc, j + k) for k in (-1, 0, 1, 2))
+            made = F.concat(here["p"], right["p"])
+
+            def put(m: Column) -> Column:
+                new = item(F.when(after.isNotNull(), rank(m, after["p"])).otherwise(none), m)
+                left = F.when(j > 0, F.array(item(rank(before["p"], m), before["p"]))).otherwise(F.slice(acc, F.lit(1), F.lit(0)))
+                return F.concat(F.slice(acc, F.lit(1), F.greatest(j - 1, F.lit(0))), left, F.array(new), F.slice(acc, j + 3, F.size(acc)))
+
+            return F.when(b["r"] == none, acc).otherwise(F.get(F.transform(F.array(made), put), F.lit(0)))
+
+        return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(best), merge), F.lit(0)))
+
+    pieces = F.aggregate(F.sequence(F.lit(1), last), start, step)
+    whole = _rank(table, data)
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(pieces, lambda x: _rank(table, x["p"])))
 
 
 def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -116,59 +118,64 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def dictionary(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of distinct words with their counts."""
-    ranks = load_ranks(path)
-    table = rank_map(ranks)
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def long_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ids=[merge_bytes(w.encode(), shared.value) for w in b["word"]])
+def frequent(words: DataFrame, ranks: dict[bytes, int]) -> Column:
+    """array<map<word, ids>>, by crc32: the ids of the most frequent words, a constant.
 
-    short = words.where(F.octet_length("word") <= LONG).select("word", "n", encode_word(F.col("word"), table).alias("ids"))
-    rest = words.where(F.octet_length("word") > LONG).mapInPandas(long_words, "word string, n long, ids array<int>")
-    return short.unionByName(rest)
+    words is (word, n). The bound on n comes from the numbers of words by eighths of powers of two of their
+    counts, so nothing is sorted; at most HOT words of HOT_BYTES bytes are on the driver.
+    """
+    words = words.where(F.octet_length("word") <= HOT_BYTES)
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r["k"]: r["n"] for r in words.groupBy(level.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # under 512 rows
+    least, total = 1 << 30, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > HOT:
+            break
+        least = k
+    made = words.where(level >= least).repartition("word").select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids"))
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
+    for word, ids in materialise(made, "frecuentes").collect():
+        buckets[zlib.crc32(word.encode()) % BUCKETS][word] = ids
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
+
+
+# every text with a word over LONG bytes has a run of a quarter as many characters of one kind
+_RUN = "{" + str(LONG // 4) + "}"
+GIANT = rf"(?U)\p{{L}}{_RUN}|\p{{N}}{_RUN}|[^\s\p{{L}}\p{{N}}]{_RUN}|\s{_RUN}"
 
 
-def located(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """(row, doc, p, ids): ids of the word at each place of each row; p and ids are null for rows without words."""
-    path = path or vocabulary_path()
-    docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), 0).alias("w"))
-    words = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
+    """(id_col, ids) of each row, encoded where it was read."""
+    ranks = load_ranks(path or vocabulary_path())
+    docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("t"))
+    split = F.regexp_extract_all("t", F.lit(PATTERN), 0)
     with short_plans(df.sparkSession):
-        words = materialise(dictionary(materialise(words, "palabras").repartition("word"), path), "vocabulario")
-    hot = words.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids")
-    hot = materialise(hot, "frecuentes")
-    cold = words.select("word", "ids").join(F.broadcast(hot.select("word")), "word", "left_anti")
-    # a row's number depends on its place in the input alone, so both passes give the same one
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    each = rows.select("row", "doc", F.posexplode_outer("w").alias("p", "word")).join(F.broadcast(hot), "word", "left")
-    here = each.where("ids is not null or word is null").select("row", "doc", "p", "ids")
-    there = each.where("ids is null and word is not null").drop("ids").join(cold, "word").select("row", "doc", "p", "ids")
-    return here.unionByName(there)
+        counts = docs.select(F.explode(split).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        hot = frequent(materialise(counts, "palabras"), ranks)
+    none = F.array().cast("array<int>")
 
+    def ids(c: Column) -> Column:
+        look = lambda w: F.try_element_at(F.get(c["hot"], F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(BUCKETS)).cast("int")), w)
+        return F.flatten(F.transform(split, lambda w: F.coalesce(look(w), _fold(w, c["ranks"]))))
 
-def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """(id_col, ids) of each row.
+    giant = F.coalesce((F.length("t") >= LONG // 4) & F.col("t").rlike(GIANT), F.lit(False))
+    tables = F.array(F.struct(hot.alias("hot"), rank_map(ranks).alias("ranks")))
+    found = F.when(F.length("t") > 0, F.get(F.transform(tables, ids), F.lit(0))).otherwise(none)
+    here = docs.where(~giant).select(F.col("doc").alias(id_col), found.alias("ids"))
+    shared = df.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
 
-    An id travels to its row as one number: 26 bits for the place of the word, 20 for the place in the word,
-    17 for the id; so the lists sort by themselves and take 8 bytes an id.
-    """
-    each = located(df, id_col, text, path).select("row", "doc", "p", F.posexplode_outer("ids").alias("k", "i"))
-    fits = (F.col("p") < 1 << 26) & (F.col("k") < 1 << 20) & (F.col("i") < 1 << 17)
-    packed = F.shiftleft(F.col("p").cast("long"), 37).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 17)).bitwiseOR(F.col("i").cast("long"))
-    packed = F.when(fits, packed).when(F.col("i").isNotNull(), F.raise_error(F.lit("a text of more words than 26 bits count")).cast("long"))
-    rows = each.select("row", "doc", packed.alias("x")).groupBy("row", "doc").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    ids = F.transform("x", lambda v: v.bitwiseAND(F.lit((1 << 17) - 1)).cast("int"))
-    return rows.select(F.col("doc").alias(id_col), ids.alias("ids"))
+    def heap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc": b["doc"], "ids": [[i for w in ws for i in merge_bytes(w.encode(), shared.value)] for ws in b["w"]]})
+
+    there = docs.where(giant).select("doc", split.alias("w")).mapInPandas(heap, f"doc {dict(docs.dtypes)['doc']}, ids array<int>")
+    return here.unionByName(there.withColumnRenamed("doc", id_col))
 
 
 def count_tokens(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
     """(id_col, tokens) of each row."""
-    n = F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long")
-    rows = located(df, id_col, text, path).groupBy("row", "doc").agg(n.alias("tokens"))
-    return rows.select(F.col("doc").alias(id_col), "tokens")
+    return encode(df, id_col, text, path).select(id_col, F.size("ids").cast("long").alias("tokens"))
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None) -> Column:
