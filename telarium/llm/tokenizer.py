@@ -133,7 +133,8 @@ def frequent(words: DataFrame, ranks: dict[bytes, int]) -> Column:
         if total > HOT:
             break
         least = k
-    made = words.where(level >= least).repartition("word").select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids"))
+    parts = words.sparkSession.sparkContext.defaultParallelism  # few words, but each of some work
+    made = words.where(level >= least).repartition(parts, "word").select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids"))
     buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
     for word, ids in materialise(made, "frecuentes").collect():
         buckets[zlib.crc32(word.encode()) % BUCKETS][word] = ids
