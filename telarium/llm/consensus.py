@@ -65,27 +65,31 @@ class Model:
         self.guess = np.full((a, k, k), 1.0 / k)  # by true category
         self.prior = np.full(k, 1.0 / k)
 
-    def _labels(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, labels: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all labels, and the number of labels of each pattern."""
+        words = labels.flatten().dictionary_encode()
+        codes = np.array([self.code[x] for x in words.dictionary.to_pylist()], np.int64)
+        return codes[words.indices.to_numpy()], np.diff(labels.offsets.to_numpy())
+
+    def _labels(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Annotator, category and pattern of each label."""
-        codes = np.fromiter((self.code[x] for row in labels for x in row), dtype=np.int64)
-        item = np.repeat(np.arange(len(labels)), [len(row) for row in labels])
-        return codes // len(self.categories), codes % len(self.categories), item
+        return codes // len(self.categories), codes % len(self.categories), np.repeat(np.arange(len(n)), n)
 
-    def posteriors(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def posteriors(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Posterior of each pattern's categories; and annotator, category and pattern of each label."""
-        who, what, item = self._labels(labels)
+        who, what, item = self._labels(codes, n)
         p = (1 - self.theta[who]) * self.guess[who, :, what]
         p[np.arange(len(who)), what] += self.theta[who, what]
-        log = np.tile(np.log(self.prior), (len(labels), 1))
+        log = np.tile(np.log(self.prior), (len(n), 1))
         np.add.at(log, item, np.log(p))
         log -= log.max(axis=1, keepdims=True)
         p = np.exp(log)
         return p / p.sum(axis=1, keepdims=True), who, what, item
 
-    def votes(self, labels: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def votes(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Shares of votes in place of posteriors, for the first iteration."""
-        who, what, item = self._labels(labels)
-        p = np.full((len(labels), len(self.categories)), 1e-3)
+        who, what, item = self._labels(codes, n)
+        p = np.full((len(n), len(self.categories)), 1e-3)
         np.add.at(p, (item, what), 1.0)
         return p / p.sum(axis=1, keepdims=True), who, what, item
 
@@ -117,17 +121,25 @@ def fit(labels: DataFrame, patterns: DataFrame) -> Model:
     if not people:
         return model
     a, k = len(people), len(categories)
+
+    def encoded(batches):
+        for b in batches:
+            codes, n = model.encode(b.column("etiquetas"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(codes, pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, b.column("n")], names=["c", "n"])
+
+    patterns = materialise(patterns.select("etiquetas", "n").mapInArrow(encoded, "c array<int>, n double"), "codigos")
     for step in range(ITERATIONS):
 
         def sums(batches, model=model, first=step == 0):
             seen, prior = np.zeros((a, k, k)), np.zeros(k)
             for b in batches:
-                rows, n = b.column("etiquetas").to_pylist(), b.column("n").to_numpy()
-                if not rows:
+                if not b.num_rows:
                     continue
-                p, who, what, item = (model.votes if first else model.posteriors)(rows)
+                codes, n = b.column("c").flatten().to_numpy().astype(np.int64), b.column("n").to_numpy()
+                p, who, what, item = (model.votes if first else model.posteriors)(codes, np.diff(b.column("c").offsets.to_numpy()))
                 for t in range(k):
-                    np.add.at(seen, (who, t, what), n[item] * p[item, t])
+                    seen[:, t] += np.bincount(who * k + what, weights=n[item] * p[item, t], minlength=a * k).reshape(a, k)
                 prior += n @ p
             yield pa.RecordBatch.from_pydict({"i": np.arange(a * k * k + k), "v": np.concatenate([seen.ravel(), prior])})
 
@@ -152,17 +164,16 @@ def consensus(df: DataFrame) -> tuple[DataFrame, Model]:
 
     def decide(batches):
         for b in batches:
-            rows = b.column("etiquetas").to_pylist()
-            if not rows:
+            if not b.num_rows:
                 continue
-            p, _, what, item = model.posteriors(rows)
+            codes, n = model.encode(b.column("etiquetas"))
+            p, _, what, item = model.posteriors(codes, n)
             best = p.argmax(axis=1)
-            n = np.bincount(item, minlength=len(rows))
-            same = np.bincount(item, weights=(what == best[item]).astype(float), minlength=len(rows))
+            same = np.bincount(item, weights=(what == best[item]).astype(float), minlength=len(n))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("art_id"), b.column("texto_norm"), pa.array([model.categories[i] for i in best]),
-                    pa.array(p[np.arange(len(rows)), best]), pa.array(same / n), pa.array(n, pa.int64()),
+                    pa.array(p[np.arange(len(n)), best]), pa.array(same / n), pa.array(n, pa.int64()),
                 ],
                 names=["art_id", "texto_norm", "categoria", "confianza", "acuerdo", "personas"],
             )
@@ -190,5 +201,36 @@ def p5_fiabilidad(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "fuente string, competencia double, categoria_supuesta string, parte double")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consenso": p5_consenso, "p5_fiabilidad": p5_fiabilidad}
-SQL: dict[str, str] = {}
+def agreement(df: DataFrame) -> DataFrame:
+    """(tramos, etiquetas, acuerdo, azar, alfa): agreement of two labels of one span, what chance gives, and
+    Krippendorff's alpha (1 where all labels are alike), over the spans with two labels at least."""
+    each = standing(df).groupBy("art_id", "texto_norm", "categoria").agg(F.count(F.lit(1)).alias("k"))
+    m = each.groupBy("art_id", "texto_norm").agg(F.sum("k").alias("m"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same"), F.collect_list(F.struct("categoria", "k")).alias("c")).where("m > 1")
+    by = m.select(F.explode("c").alias("c")).groupBy("c.categoria").agg(F.sum("c.k").alias("n"))  # a row a category
+    expected = by.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    seen = m.agg(F.count(F.lit(1)).alias("tramos"), F.coalesce(F.sum("m"), F.lit(0)).alias("etiquetas"), F.sum(F.col("same") / (F.col("m") - 1)).alias("same"))
+    observed = F.col("same") / F.nullif(F.col("etiquetas"), F.lit(0))
+    chance = F.col("pairs") / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))
+    alpha = F.when(chance == 1, 1.0).otherwise(1 - (1 - observed) / (1 - chance))
+    out = seen.crossJoin(expected)  # one row each
+    return out.select("tramos", "etiquetas", F.round(observed, 6).alias("acuerdo"), F.round(chance, 6).alias("azar"), F.round(alpha, 6).alias("alfa"))
+
+
+def p5_acuerdo(spark, sf_dir: str) -> DataFrame:
+    return agreement(read(spark, sf_dir, "anotaciones"))
+
+
+QUERIES = {"p5_acuerdo": p5_acuerdo, "p5_found": p5_found, "p5_consenso": p5_consenso, "p5_fiabilidad": p5_fiabilidad}
+_LABELS = """
+with s as (select art_id, texto_norm, fuente, arg_max(categoria, {'m': coalesce(modificada_en, timestamp '0001-01-01'), 'id': id}) as categoria
+           from anotaciones where fuente like 'anot\\_%' escape '\\' and estado in ('confirmada', 'corregida') and categoria is not null group by 1, 2, 3),
+e as (select art_id, texto_norm, categoria, count(*) as k from s group by 1, 2, 3),
+m as (select art_id, texto_norm, sum(k) as m, sum(k * (k - 1)) as same from e group by 1, 2 having sum(k) > 1),
+b as (select sum(k) as n from e join m using (art_id, texto_norm) group by categoria),
+x as (select sum(n) as n, sum(n * (n - 1)) as pairs from b),
+o as (select count(*) as tramos, sum(m) as etiquetas, sum(same / (m - 1)) as same from m)
+"""
+SQL = {
+    "p5_acuerdo": _LABELS + """select tramos, etiquetas, round(same / etiquetas, 6) as acuerdo, round(pairs / (n * (n - 1)), 6) as azar,
+ round(1 - (1 - same / etiquetas) / (1 - pairs / (n * (n - 1))), 6) as alfa from o, x""",
+}

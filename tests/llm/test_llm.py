@@ -269,6 +269,17 @@ def test_consensus_sees_through_a_swap(spark):
     assert sum(r["categoria"] == truth[r["art_id"]] for r in found.collect()) / 400 > 0.95
 
 
+def test_agreement_beyond_chance(spark):
+    """Krippendorff's alpha of a table by hand: two of three spans agree in full."""
+    rows = [("a", "anot_1", "p"), ("a", "anot_2", "p"), ("b", "anot_1", "q"), ("b", "anot_2", "q"), ("c", "anot_1", "p"), ("c", "anot_2", "q"), ("d", "anot_1", "p")]
+    made = lambda rows: spark.createDataFrame([(i, a, "x", c, "confirmada", f, None) for i, (a, f, c) in enumerate(rows)], "id long, art_id string, texto_norm string, categoria string, estado string, fuente string, modificada_en timestamp")
+    got = consensus.agreement(made(rows)).first()
+    assert (got["tramos"], got["etiquetas"], got["acuerdo"], got["azar"]) == (3, 6, round(4 / 6, 6), 0.4)
+    assert got["alfa"] == round(1 - (1 - 4 / 6) / 0.6, 6)
+    assert consensus.agreement(made(rows[:2])).first()["alfa"] == 1.0
+    assert consensus.agreement(made([])).first()["tramos"] == 0
+
+
 def test_last_label_stands(spark):
     import datetime as d
 
