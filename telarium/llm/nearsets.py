@@ -1,16 +1,16 @@
-"""Problem 2: groups of near-duplicate texts, by a pigeonhole over a partitioned universe.
+"""Problem 2: groups of near-duplicate texts, by signatures over a partitioned universe and exact verification.
 
-The universe of shingles is hashed into SEGMENTS segments, and the cost of a segment is its number of
-shingle occurrences over all records. A record of n shingles can lack at most D of a partner's (D
-depends on the size band of the partner). Units are allocated to the record's cheapest segments until
-D + 1 shingles are covered, none to the rest; by the pigeonhole principle two similar records agree in a
-shingle of segments that both allocated. A segment that holds one shingle of the record is indexed by
-that subset, one that holds two or more by its deletion neighbourhood down to single shingles. Every
-index entry carries size, rank and a parity bitmap of the record's whole set, from which bounds on the
-overlap discard most pairs inside the join; the rest are verified exactly on the whole sets.
+The universe of shingles is hashed into 2^SEGMENT_BITS segments, and the cost of a segment is its number of shingle
+occurrences over all records. A record of n shingles may lack n - ceil(t n) of a partner's at most; so it is
+indexed by one shingle more than that, those of its cheapest segments in one order for all records, and two
+similar records agree in one. This is prefix filtering with a cost-based order; why the signatures are single
+shingles and not segment subsets with their deletion neighbourhoods, the README says with figures. Every index
+entry carries size, rank and a parity bitmap of the record's whole set, from which bounds on the overlap discard
+most pairs inside the join; the rest are verified exactly on the whole sets.
 
-Records with equal sets are collapsed first and only their representative is compared; so groups of
-exact copies, however large, cost one row each until the query asks for their pairs.
+Records with equal sets are collapsed while the sets are gathered, so groups of exact copies, however large,
+cost one row each until the query asks for their pairs; there is one plan for all sizes. A set is kept as sorted
+48-bit hashes in one binary value.
 
 Defined results: null, empty and short texts (under min_words words) have no partners; rows that repeat an
 id count as one row that has all their texts; extra columns are ignored; empty tables give no rows.
@@ -18,16 +18,18 @@ id count as one row that has all their texts; extra columns are ignored; empty t
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telarium.operators.graph import components
-from telarium.session import drop_table, materialise, read
+from telarium.session import materialise, read
 
 SEGMENT_BITS = 17
-FEW_COPIES = 1_000_000
+BYTES = 6  # of a shingle's hash
 WORDS = 4  # 64-bit words of the parity bitmap
 
 
@@ -50,13 +52,35 @@ def sets(df: DataFrame, id_col: str, text: str, k: int, min_words: int) -> DataF
         F.array(words(F.col(f"`{text}`"))), lambda w: F.when(F.size(w) >= min_words, shingles(w, k)).otherwise(short)
     )
     s = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.get(made, F.lit(0)).alias("s"))
-    return s.where(F.size("s") > 0).select("id", F.unhex(F.md5(F.to_binary(F.array_join("s", ","), F.lit("utf-8")))).alias("h"), "s")
+
+    def packed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column("s")
+            v, n = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(n)), n)
+            v = (v.view(np.uint64) >> np.uint64(64 - 8 * BYTES)).astype(np.int64)
+            order = np.lexsort((v, doc))
+            v, doc = v[order], doc[order]
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
+            v, doc = v[new], doc[new]
+            ends = np.cumsum(np.bincount(doc, minlength=len(n))) * BYTES
+            data = v.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+            blobs = [data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([md5(x).digest() for x in blobs], pa.binary()), pa.array(blobs, pa.binary())], names=["id", "h", "s"])
+
+    return s.where(F.size("s") > 0).mapInArrow(packed, f"id {dict(s.dtypes)['id']}, h binary, s binary")
 
 
 def _flat(b, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of a list column."""
-    column = b.column(name)
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    """Hashes and sizes of a column of packed sets."""
+    sets_ = b.column(name).to_pylist()
+    n = np.array([len(x) // BYTES for x in sets_], np.int64)
+    wide = np.zeros((int(n.sum()), 8), np.uint8)
+    wide[:, :BYTES] = np.frombuffer(b"".join(sets_), np.uint8).reshape(-1, BYTES)
+    return wide.view("<i8").ravel(), n
 
 
 def segment_costs(reps: DataFrame) -> np.ndarray:
@@ -152,15 +176,14 @@ def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 def similar(df: DataFrame, id_col: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) of each set of equal shingles, links (a, b, sim) between representatives."""
-    all_sets = materialise(sets(df, id_col, text, k, min_words), "conjuntos")
-    first = all_sets.groupBy("h").agg(F.min("id").alias("rep"))
-    members = materialise(all_sets.select("id", "h").join(first, "h").groupBy("id").agg(F.min("rep").alias("rep")), "miembros")
-    copies = materialise(members.where("id <> rep").select("id"), "copias")
-    if copies.count() <= FEW_COPIES:  # FEW_COPIES ids are broadcast at most
-        reps = all_sets.join(F.broadcast(copies), "id", "left_anti").select("id", "s")
-    else:
-        reps = materialise(all_sets.join(copies, "id", "left_anti").select("id", "s"), "representantes")
-        drop_table(all_sets)
+    made = sets(df, id_col, text, k, min_words)
+    # the set of the smallest id stands for all that are equal; partial minima are taken before the shuffle
+    first = made.groupBy("h").agg(F.min(F.struct("id", "s")).alias("x"))
+    firsts = materialise(first.select("h", F.col("x.id").alias("rep"), "x.s"), "conjuntos")
+    # the members are found by a second pass over the texts, so that no set is written twice
+    members = made.select("id", "h").join(firsts.select("h", "rep"), "h")
+    members = materialise(members.groupBy("id").agg(F.min("rep").alias("rep")), "miembros")
+    reps = firsts.select(F.col("rep").alias("id"), "s")
     costs = segment_costs(reps)
     pairs = candidates(index(reps, costs, threshold), threshold)
     links = materialise(verify(pairs, reps, threshold), "enlaces")
