@@ -4,10 +4,12 @@ Three detectors, all in built-in expressions over whole texts:
 - placeholders: unfilled fields in the notations of templating languages and of typists;
 - filler: stock phrases, keyboard runs, a word repeated in a row, and passages of lower-case words that
   lack any function word (invented Latin and the like);
-- notices: short texts whose title and body have terms of failed or blocked pages, demands to enable
-  scripts, or refusals to transcribe. Evidence of the hosts comes from all lines of all documents: a line
-  (digits masked) that several documents of more than one source share is a response, not an article; it
-  counts the more if the address slug (publication and source) and the title have no term in the body.
+- notices: texts with terms of failed or blocked pages, demands to enable scripts, or refusals to transcribe.
+  Length is evidence: in a text of SHORT words or fewer one telling term suffices, in a longer one most sentences
+  must have some. Evidence of the hosts comes from all lines of all documents: a line (digits masked) that SHARED
+  documents of more than one source have in common is a response, not an article; a text of nothing but such
+  lines, however long, is a notice if it has a term of notices or its body has no term in common with its address
+  slug (publication and source) and with its title (the first of several lines).
 
 Words inside «…» or “…”, and for notices sentences that report speech or writing, are quotations and
 don't count. Defined results: null, blank and
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from telarium.session import read
 
-SHORT = 45  # words of the longest notice
+SHORT = 45  # words up to which one telling term makes a notice
 SHARED = 4  # documents that share a response line, at least
 
 FIELD = (
@@ -83,8 +85,18 @@ FUNCTION = (
     "muy|ni|no|nuestra|nuestro|o|para|pero|por|que|se|según|ser|si|sin|sobre|son|su|sus|tras|un|una|y|ya|aquel|aquella|"
     "the|of|and|to|is|was|for|on|with|as|by|at|from|that|near|l|d|du|des|les|est|dans|par|près|sur|une|depuis|vers|sans"
 )
+
+
+def _alternatives(words: str) -> str:
+    """The words as one pattern that looks at each first letter once."""
+    by: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, reverse=True))})" for c, rest in sorted(by.items()))
+
+
 # a run of lower-case words without a function word
-WORDLESS = rf"(?:(?<![\p{{L}}\p{{M}}])(?!(?:{FUNCTION})(?![\p{{L}}\p{{M}}]))\p{{Ll}}{{2,}}[ ,\n]{{1,3}}){{9}}\p{{Ll}}{{2,}}"
+WORDLESS = rf"(?:(?<![\p{{L}}\p{{M}}])(?!(?:{_alternatives(FUNCTION)})(?![\p{{L}}\p{{M}}]))\p{{Ll}}{{2,}}[ ,\n]{{1,3}}){{9}}\p{{Ll}}{{2,}}"
 
 STRONG = (
     r"\b(?:active|activ\p{L}+|habilit\p{L}+|enable|activez|necesita|requiere|precisa|pide|desactivad\p{L}+|funciona|muestra|requires?|needs?)\b.{0,60}\b(?:javascript|js|scripts?|cookies)\b",
@@ -100,6 +112,13 @@ STRONG = (
     r"\b(?:requiere|precisa|necesita|requires) (?:una |a )?(?:sesi[oó]n|session|login|identificaci[oó]n|iniciar)\b",
     r"\b(?:fue|ha sido|han sido|was|has been) (?:retirad|movid|eliminad|borrad|trasladad\p{L}+ de direcci|bloquead|removed|moved|deleted|blocked)",
 )
+# stems one of which stands in every text that STRONG hits
+STEMS = (
+    r"javascript|\bjs\b|script|cookie|\b[45]\d\d\b|not found|gateway|forbidden|unavailable|too many|internal server|rejected|denied|denegado|"
+    r"encontrad|disponible|existe|responde|recibido|no pued|no podemos|posible|cannot|can't|unable|peux|no contiene|vac[ií]a|carece|no se encuentra|"
+    r"contains no|cambiado de|tard[oó] demasiado|no pudo|caducado|mantenimiento|asistente|as an ai|language model|adjunte|vuelva a|requiere|precisa|"
+    r"necesita|requires|fue |sido |was |has been"
+)
 # sentences that report what somebody said, wrote or read
 REPORTED = r"(?U)(?:^|(?<=[.!?\n]))[^.!?\n]*?\b(?:dec[ií]an?|rezaba|dijo|dijeron|respondi[oó]|lament[oó]|escribi[oó]|escrito|cuenta|contaba|rieron|anunciaba|le[ií]a|said|read)\b[^.!?\n]*"
 WEAK = (
@@ -125,47 +144,63 @@ def _masked(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(c)), r"\p{Nd}+", "#")
 
 
-def response_lines(docs: DataFrame) -> DataFrame:
-    """Keys of lines that SHARED documents of more than one source have in common."""
-    lines = docs.select("doc_id", "source", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _masked))).alias("l"))
-    keys = lines.where("l rlike '\\\\p{L}'").select(F.xxhash64("l").alias("k"), F.coalesce("source", F.lit("")).alias("source"))
-    seen = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("a"), F.max("source").alias("b"))
-    return seen.where(f"n >= {SHARED} and a < b").select("k")
+def responses(docs: DataFrame) -> DataFrame:
+    """(doc_id, h): rows (by hash of the text) of nothing but lines that SHARED documents of more than one source have in common."""
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), _masked), lambda x: x.rlike(r"\p{L}")), lambda x: F.xxhash64(x)))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("source", F.lit("")).alias("source"), lines.alias("k"))
+    each = rows.select("doc_id", "h", "source", F.size("k").alias("n"), F.explode("k").alias("k"))
+    seen = each.groupBy("k").agg(F.count(F.lit(1)).alias("of"), F.min("source").alias("a"), F.max("source").alias("b"))
+    shared = seen.where((F.col("of") >= SHARED) & (F.col("a") < F.col("b"))).select("k")
+    met = each.select("doc_id", "h", "n", "k").join(shared, "k").groupBy("doc_id", "h", "n").agg(F.countDistinct("k").alias("met"))
+    return met.where("met = n").select("doc_id", "h").distinct()
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, hueco, relleno, aviso): the documents with at least one of the three."""
     docs = documents.select("doc_id", "text", "source", "publicacion").where(F.col("text").rlike(r"\p{L}"))
-    low = F.lower("text")
-    unquoted = F.regexp_replace(low, r"«[^«»\n]*»|“[^“”\n]*”", "«»")
+    # columns of their own, so that each is made once a text and not once a pattern
+    docs = docs.withColumn("low", F.lower("text"))
+    docs = docs.withColumn("unquoted", F.regexp_replace("low", r"«[^«»\n]*»|“[^“”\n]*”", "«»"))
     marked = docs.select(
         "doc_id",
         (F.col("text").rlike(SIGNS) & _any(F.col("text"), PLACEHOLDERS)).alias("hueco"),
-        (_any(unquoted, tuple("(?U)" + p for p in FILLER)) | F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(low).rlike(WORDLESS)).alias("relleno"),
+        (_any(F.col("unquoted"), tuple("(?U)" + p for p in FILLER)) | F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(F.col("low")).rlike(WORDLESS)).alias("relleno"),
         F.lit(False).alias("aviso"),
     )
-    text = F.regexp_replace(F.regexp_replace(unquoted, REPORTED, " "), r"\s+", " ")
-    slug = F.split(F.lower(F.concat_ws(" ", "publicacion", F.translate("source", "_", " "))), r"[^\p{L}]+")
-    short = docs.where(F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nd}]+)"), 1)) <= SHORT).select(
-        "doc_id",
-        _hits(text, tuple("(?U)" + p for p in STRONG)).alias("strong"),
-        _hits(text, tuple("(?U)" + p for p in WEAK)).alias("weak"),
-        F.forall(slug, lambda w: (F.length(w) < 4) | (F.instr(low, w) == 0)).alias("mismatch"),
-        F.filter(F.transform(F.split("text", "\n"), _masked), lambda x: x.rlike(r"\p{L}")).alias("lines"),
-    )
-    each = short.select("*", F.explode("lines").alias("l")).withColumn("k", F.xxhash64("l"))
-    shared = response_lines(docs).withColumn("shared", F.lit(True))
-    judged = each.join(shared, "k", "left").groupBy("doc_id", "strong", "weak", "mismatch").agg(
-        F.every(F.coalesce("shared", F.lit(False))).alias("responses")
-    )
-    notice = (
-        (F.col("strong") > 0) | (F.col("weak") > 1) | (F.col("responses") & ((F.col("weak") > 0) | F.col("mismatch")))
-    )
-    notices = judged.select("doc_id", F.lit(False).alias("hueco"), F.lit(False).alias("relleno"), notice.alias("aviso"))
-    found = marked.where("hueco or relleno").unionByName(notices.where("aviso"))
+    found = marked.where("hueco or relleno").unionByName(notices(docs))
     return found.groupBy("doc_id").agg(*(F.bool_or(c).alias(c) for c in ("hueco", "relleno", "aviso")))
 
 
+def _terms(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """(doc_id, hueco, relleno, aviso) of the notices."""
+    short = F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nd}]+)"), 1)) <= SHORT
+    told = F.regexp_replace(F.regexp_replace("unquoted", REPORTED, " "), r"\s+", " ")
+    title = F.substring_index(F.trim("text"), "\n", 1)
+    rest = F.lower(F.substring(F.trim("text"), F.length(title) + 1, F.length("text")))
+    lacks = lambda words, body: F.forall(words, lambda w: F.instr(body, w) == 0)
+    slug = _terms(F.concat_ws(" ", "publicacion", F.translate("source", "_", " ")))
+    mismatch = lacks(slug, F.col("low")) & (~rest.rlike(r"\p{L}") | lacks(_terms(title), rest))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), short.alias("short"), mismatch.alias("mismatch"), "low", "unquoted")
+    rows = rows.withColumn("told", F.when(F.col("short") | F.col("low").rlike(STEMS), told))
+    strong, weak = (tuple("(?U)" + p for p in x) for x in (STRONG, WEAK))
+    sentences = F.filter(F.split(F.when(~F.col("short"), F.col("told")), r"[.!?]+"), lambda x: x.rlike(r"\p{L}"))
+    rows = rows.select(
+        "doc_id", "h", "short", "mismatch", F.coalesce(_hits(F.col("told"), strong), F.lit(0)).alias("strong"),
+        F.coalesce(F.when(F.col("short"), _hits(F.col("told"), weak)), F.lit(0)).alias("weak"), sentences.alias("s"),
+    )
+    telling = F.filter("s", lambda x: _any(x, strong + weak))
+    dense = (F.col("strong") > 0) & F.coalesce(F.size(telling) * 2 > F.size("s"), F.lit(False))
+    judged = rows.select("doc_id", "h", "mismatch", "weak", (F.when(F.col("short"), (F.col("strong") > 0) | (F.col("weak") > 1)).otherwise(dense)).alias("told"))
+    shared = responses(docs).withColumn("shared", F.lit(True))
+    judged = judged.join(shared, ["doc_id", "h"], "left")
+    notice = F.col("told") | (F.coalesce("shared", F.lit(False)) & ((F.col("weak") > 0) | F.col("mismatch")))
+    return judged.where(notice).select("doc_id", F.lit(False).alias("hueco"), F.lit(False).alias("relleno"), F.lit(True).alias("aviso"))
+
+
 def p10_found(spark, sf_dir: str) -> DataFrame:
     return residue(read(spark, sf_dir, "documents")).select("doc_id")
 

@@ -449,6 +449,22 @@ def test_residue(spark, text, kind):
     assert [c for r in got for c in ("hueco", "relleno", "aviso") if r[c]] [:1] == ([kind] if kind else [])
 
 
+def test_long_notices(spark):
+    """Length doesn't hide a notice: most sentences tell, or all lines are shared by hosts and fit none of them; long prose is none."""
+    notice = "Error 503 del servidor. La página solicitada no está disponible. Este visor requiere JavaScript y cookies. Inténtelo más tarde o vuelva a cargar. " * 4
+    prose = "La orquesta tocó en la plaza y llegó el tren. Un error 404 salió en el visor aquel día. Después hubo baile, cena y un largo discurso del alcalde. " * 6
+    shared = "\n".join(f"Renglón común de la casa con muchas palabras sueltas y turno {k}" for k in range(12))
+    rows = [(1, notice, "s1", "Lumen"), (2, prose, "s1", "Lumen"), *((10 + i, shared, f"s{i % 3}", "Lumen") for i in range(6)), (30, shared + "\nRenglón propio", "s1", "Lumen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, publicacion string")
+    got = {r["doc_id"] for r in residue.residue(df).collect()}
+    assert 1 in got and 2 not in got and 30 not in got, got
+    # the lines of a text of several lines have terms in common with its title, so the shared ones are an article
+    assert not got & set(range(10, 16))
+    other = [(i, "Portal cerrado hoy\n" + shared.replace("casa", "sala"), f"s{i % 3}", "Lumen") for i in range(6)]
+    df = spark.createDataFrame(other, "doc_id long, text string, source string, publicacion string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == set(range(6))
+
+
 def test_shared_responses(spark):
     rows = [(i, f"Zona fuera de horario, turno {i}", f"s{i % 3}", "Lumen") for i in range(6)] + [(10, "Zona propia del puerto", "s1", "Lumen")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, publicacion string")
