@@ -143,6 +143,28 @@ def test_given_names_of_large_tables(spark):
     assert set(lex.given) - set(plain.given) == {word("gi", i) for i in range(16)}
 
 
+def test_short_forms_are_learned(spark):
+    """Short forms that no list holds, from people whose names differ in nothing else; surnames are none."""
+    rng = random.Random(33)
+    made = lambda k: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(k))
+    given = {made(3): "z" + made(2) for _ in range(8)}
+    seconds = [made(4) for _ in range(6)]
+    rows, same = [], []
+    for g, short in given.items():
+        for i in range(60):
+            first, second = made(5), rng.choice(seconds)
+            rows.append((f"{g} {first} {second}".title(), "personas", None))
+            if i % 4 == 0:
+                rows.append((f"{short} {first} {second}".title(), "personas", None))
+                same.append((rows[-2][0], rows[-1][0]))
+    df = spark.createDataFrame(rows, "nombre string, categoria string, nuevo string")
+    lex = names.learn(df.select("nombre", "categoria"))
+    assert {k: v for k, v in lex.short.items() if k not in names.NICKNAMES} == {v: k for k, v in given.items()}
+    entity = {r["nombre"]: r["entidad"] for r in names.link(df).collect()}
+    assert sum(entity[a] == entity[b] for a, b in same) >= 0.97 * len(same)
+    assert len(set(entity.values())) >= 0.97 * 8 * 60
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_segment_join_equals_brute_force(spark, k):
     rng = random.Random(k)
