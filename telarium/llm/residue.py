@@ -140,6 +140,10 @@ def _hits(c: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(Column.__add__, [c.rlike(p).cast("int") for p in patterns])
 
 
+def _unquoted(low: Column) -> Column:
+    return F.regexp_replace(low, r"«[^«»\n]*»|“[^“”\n]*”", "«»")
+
+
 def _masked(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(c)), r"\p{Nd}+", "#")
 
@@ -158,13 +162,13 @@ def responses(docs: DataFrame) -> DataFrame:
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, hueco, relleno, aviso): the documents with at least one of the three."""
     docs = documents.select("doc_id", "text", "source", "publicacion").where(F.col("text").rlike(r"\p{L}"))
-    # columns of their own, so that each is made once a text and not once a pattern
-    docs = docs.withColumn("low", F.lower("text"))
-    docs = docs.withColumn("unquoted", F.regexp_replace("low", r"«[^«»\n]*»|“[^“”\n]*”", "«»"))
+    # bound to a lambda variable, what is made of a text is made once and not once a pattern
+    filler = F.exists(F.array(_unquoted(F.lower("text"))), lambda x: _any(x, tuple("(?U)" + p for p in FILLER)))
+    lower = F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(F.lower("text"))
     marked = docs.select(
         "doc_id",
         (F.col("text").rlike(SIGNS) & _any(F.col("text"), PLACEHOLDERS)).alias("hueco"),
-        (_any(F.col("unquoted"), tuple("(?U)" + p for p in FILLER)) | F.when(F.col("text").rlike(r"\p{Ll}"), F.col("text")).otherwise(F.col("low")).rlike(WORDLESS)).alias("relleno"),
+        (filler | lower.rlike(WORDLESS)).alias("relleno"),
         F.lit(False).alias("aviso"),
     )
     found = marked.where("hueco or relleno").unionByName(notices(docs))
@@ -177,24 +181,30 @@ def _terms(c: Column) -> Column:
 
 def notices(docs: DataFrame) -> DataFrame:
     """(doc_id, hueco, relleno, aviso) of the notices."""
-    short = F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nd}]+)"), 1)) <= SHORT
-    told = F.regexp_replace(F.regexp_replace("unquoted", REPORTED, " "), r"\s+", " ")
+    low = F.lower("text")
+    # at least SHORT + 1 words; the pattern stops there
+    short = ~F.col("text").rlike(rf"^[^\p{{L}}\p{{Nd}}]*+(?:[\p{{L}}\p{{Nd}}]++[^\p{{L}}\p{{Nd}}]++){{{SHORT}}}[\p{{L}}\p{{Nd}}]")
     title = F.substring_index(F.trim("text"), "\n", 1)
     rest = F.lower(F.substring(F.trim("text"), F.length(title) + 1, F.length("text")))
     lacks = lambda words, body: F.forall(words, lambda w: F.instr(body, w) == 0)
     slug = _terms(F.concat_ws(" ", "publicacion", F.translate("source", "_", " ")))
-    mismatch = lacks(slug, F.col("low")) & (~rest.rlike(r"\p{L}") | lacks(_terms(title), rest))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), short.alias("short"), mismatch.alias("mismatch"), "low", "unquoted")
-    rows = rows.withColumn("told", F.when(F.col("short") | F.col("low").rlike(STEMS), told))
+    strange = lambda x: lacks(slug, x) & F.exists(F.array(rest), lambda r: ~r.rlike(r"\p{L}") | lacks(_terms(title), r))
     strong, weak = (tuple("(?U)" + p for p in x) for x in (STRONG, WEAK))
-    sentences = F.filter(F.split(F.when(~F.col("short"), F.col("told")), r"[.!?]+"), lambda x: x.rlike(r"\p{L}"))
-    rows = rows.select(
-        "doc_id", "h", "short", "mismatch", F.coalesce(_hits(F.col("told"), strong), F.lit(0)).alias("strong"),
-        F.coalesce(F.when(F.col("short"), _hits(F.col("told"), weak)), F.lit(0)).alias("weak"), sentences.alias("s"),
-    )
-    telling = F.filter("s", lambda x: _any(x, strong + weak))
-    dense = (F.col("strong") > 0) & F.coalesce(F.size(telling) * 2 > F.size("s"), F.lit(False))
-    judged = rows.select("doc_id", "h", "mismatch", "weak", (F.when(F.col("short"), (F.col("strong") > 0) | (F.col("weak") > 1)).otherwise(dense)).alias("told"))
+
+    def evidence(told: Column) -> Column:
+        """weak terms, and whether the text tells by itself."""
+        sentences = F.filter(F.split(told, r"[.!?]+"), lambda x: x.rlike(r"\p{L}"))
+        dense = F.exists(F.array(sentences), lambda s: F.size(F.filter(s, lambda x: _any(x, strong + weak))) * 2 > F.size(s))
+        few = F.struct(_hits(told, strong).alias("s"), _hits(told, weak).alias("w"))
+        brief = F.transform(F.array(few), lambda n: F.struct(n["w"].alias("weak"), ((n["s"] > 0) | (n["w"] > 1)).alias("told")))
+        full = F.array(F.struct(F.lit(0).alias("weak"), (_any(told, strong) & dense).alias("told")))
+        return F.when(short, F.get(brief, F.lit(0))).otherwise(F.get(full, F.lit(0)))
+
+    made = F.regexp_replace(F.regexp_replace(_unquoted(low), REPORTED, " "), r"\s+", " ")
+    seen = F.when(short | low.rlike(STEMS), F.get(F.transform(F.array(made), evidence), F.lit(0)))
+    strange = F.exists(F.array(low), strange)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), strange.alias("mismatch"), seen.alias("e"))
+    judged = rows.select("doc_id", "h", "mismatch", F.coalesce("e.weak", F.lit(0)).alias("weak"), F.coalesce("e.told", F.lit(False)).alias("told"))
     shared = responses(docs).withColumn("shared", F.lit(True))
     judged = judged.join(shared, ["doc_id", "h"], "left")
     notice = F.col("told") | (F.coalesce("shared", F.lit(False)) & ((F.col("weak") > 0) | F.col("mismatch")))
