@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,3 +133,18 @@ def rebuild_lines(s: pd.Series) -> pd.Series:
         return "\n".join([*out, buffer] if buffer else out)
 
     return s.map(one)
+
+
+def respell(c: Column, rules: dict[str, str]) -> Column:
+    """whole words of old spelling become their present forms, in the order of the rules (an argument, not data)."""
+    for old, new in rules.items():
+        c = F.regexp_replace(c, rf"(?<!\p{{L}}){re.escape(old)}(?!\p{{L}})", new)
+    return c
+
+
+def replace_word(c: Column, old: str, new: str, nth: int | None = None) -> Column:
+    """every whole-word hit, or only the nth; a text with fewer hits stays as it is."""
+    word = rf"(?<!\p{{L}}){re.escape(old)}(?!\p{{L}})"
+    if nth is None:
+        return F.regexp_replace(c, word, new)
+    return F.regexp_replace(c, rf"(?s)\A((?:.*?{word}){{{nth - 1}}}.*?){word}", rf"$1{new}")

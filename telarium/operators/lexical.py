@@ -55,18 +55,16 @@ def lexical_network(toks: DataFrame, nodes: int, window: int, least: int) -> Dat
     """A4: pairs inside the window among the most frequent words, each seen from both sides."""
     chosen = top(counts(toks), nodes, F.desc("n"), F.asc("w")).select("w")
     names = [r[0] for r in chosen.collect()]  # `nodes` rows
-    kept = F.transform("t", lambda x: F.when(x.isin(names), x))
-    t = toks.select(kept.alias("k"))
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("k")),
-            lambda i: F.transform(
-                F.concat(F.slice("k", F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window))), F.slice("k", i + 1, F.lit(window))),
-                lambda y: F.struct(F.least(F.element_at("k", i), y).alias("a"), F.greatest(F.element_at("k", i), y).alias("b"), (F.element_at("k", i).isNotNull() & y.isNotNull()).alias("ok")),
-            ),
-        )
-    )
-    each = t.where(F.size("k") > 0).select(F.explode(pairs).alias("p")).where("p.ok")
+    # only the chosen words with their places; of those in order, at most `window` on each side can be in reach
+    kept = F.filter(F.transform("t", lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda x: x["w"].isin(names))
+    t = toks.select(kept.alias("k")).where(F.size("k") > 1)
+
+    def around(x, j):
+        near = F.slice("k", F.greatest(j + 1 - window, F.lit(1)), F.lit(2 * window + 1))
+        near = F.filter(near, lambda y: (y["i"] != x["i"]) & (F.abs(y["i"] - x["i"]) <= window))
+        return F.transform(near, lambda y: F.struct(F.least(x["w"], y["w"]).alias("a"), F.greatest(x["w"], y["w"]).alias("b")))
+
+    each = t.select(F.explode(F.flatten(F.transform("k", around))).alias("p"))
     return each.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("peso")).where(F.col("peso") >= least)
 
 

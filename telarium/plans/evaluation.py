@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telarium.functions.text import stripped
-from telarium.operators.similarity import word_distance
+from telarium.operators.similarity import char_distance, word_distance
 from telarium.plans.registry import Plan
 
 PLAN = Plan()
@@ -48,26 +48,27 @@ def cer_norm(c: str):
     return stripped(F.lower(F.trim(x)))
 
 
-@q("f29_cer_normaliser", "select id, " + _NORM.format(c="texto_crudo") + " as texto from ocr where texto_crudo is not null and regexp_full_match(strip_accents(texto_crudo), '[ -~\\n«»¿¡—¬·­]*')".replace("­", ""), "ocr")
+@q("f29_cer_normaliser", "select id, " + _NORM.format(c="texto_crudo") + " as texto from ocr where texto_crudo is not null", "ocr")
 def normaliser(ocr: DataFrame) -> DataFrame:
     """Every page, whatever its characters."""
     return ocr.where("texto_crudo is not null").select("id", cer_norm("texto_crudo").alias("texto"))
 
 
-_REF = "r as (select id, motor, confianza, case when confianza >= 0.6 then 'alta' else 'baja' end as calidad, translate(" + _NORM.format(c="texto_limpio") + ", '«»¿¡—¬·', '<>?!---') as ref, translate(" + _NORM.format(c="coalesce(texto_crudo, '')") + ", '«»¿¡—¬·', '<>?!---') as hyp from ocr where texto_limpio <> ''), o as (select * from r where regexp_full_match(ref || hyp, '[ -~]*'))"
+# DuckDB counts edits of bytes: every character beyond ASCII becomes a byte of its own there, one for one
+_SPARE = "array_to_string(list_transform(generate_series(1, 31), lambda i: chr(i::int)), '')"
+_REF = "r as (select id, motor, confianza, case when confianza >= 0.6 then 'alta' else 'baja' end as calidad, " + _NORM.format(c="texto_limpio") + " as ref, " + _NORM.format(c="coalesce(texto_crudo, '')") + f" as hyp from ocr where texto_limpio <> ''), ch as (select coalesce(string_agg(c, '' order by c), '') as f from (select distinct unnest(regexp_extract_all(ref || hyp, '[^ -~]')) as c from r)), o as (select id, motor, calidad, translate(ref, f, {_SPARE}) as ref, translate(hyp, f, {_SPARE}) as hyp from r, ch)"
 
 
 def references(ocr: DataFrame) -> DataFrame:
     """Cleaned layers as references and raw ones as hypotheses; a missing hypothesis is empty, no page is left out."""
-    n = lambda c: F.translate(cer_norm(c), "«»¿¡—¬·", "<>?!---")
     r = ocr.where("texto_limpio <> ''").withColumn("texto_crudo", F.coalesce("texto_crudo", F.lit("")))
-    return r.select("id", "motor", F.when(F.col("confianza") >= 0.6, "alta").otherwise("baja").alias("calidad"), n("texto_limpio").alias("ref"), n("texto_crudo").alias("hyp"))
+    return r.select("id", "motor", F.when(F.col("confianza") >= 0.6, "alta").otherwise("baja").alias("calidad"), cer_norm("texto_limpio").alias("ref"), cer_norm("texto_crudo").alias("hyp"))
 
 
 @q("a52_cer", f"with {_REF} select motor, count(*) as paginas, sum(levenshtein(ref, hyp)) as errores, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 4) as cer from o group by 1", "ocr")
 def cer(ocr: DataFrame) -> DataFrame:
     """Micro average: sum of edit distances over sum of reference lengths."""
-    d = references(ocr).withColumn("d", F.levenshtein("ref", "hyp"))
+    d = references(ocr).withColumn("d", char_distance("ref", "hyp"))
     return d.groupBy("motor").agg(F.count(F.lit(1)).alias("paginas"), F.sum("d").alias("errores"), F.round(F.sum("d") / F.nullif(F.sum(F.length("ref")), F.lit(0)), 4).alias("cer"))
 
 
@@ -80,7 +81,7 @@ def wer(ocr: DataFrame) -> DataFrame:
 @q("a53_stratified_evaluation", f"with {_REF}, d as (select motor, calidad, levenshtein(ref, hyp) as d, length(ref) as n from o), u as (select 'motor' as estrato, motor as valor, d, n from d union all select 'calidad', calidad, d, n from d) select estrato, valor, count(*) as paginas, round(sum(d) / sum(n), 4) as cer from u group by 1, 2", "ocr")
 def stratified(ocr: DataFrame) -> DataFrame:
     """The distance is computed once; the strata are unpivoted afterwards."""
-    d = references(ocr).select("motor", "calidad", F.levenshtein("ref", "hyp").alias("d"), F.length("ref").alias("n"))
+    d = references(ocr).select("motor", "calidad", char_distance("ref", "hyp").alias("d"), F.length("ref").alias("n"))
     u = d.select(F.expr("stack(2, 'motor', motor, 'calidad', calidad) as (estrato, valor)"), "d", "n")
     return u.groupBy("estrato", "valor").agg(F.count(F.lit(1)).alias("paginas"), F.round(F.sum("d") / F.nullif(F.sum("n"), F.lit(0)), 4).alias("cer"))
 

@@ -250,8 +250,10 @@ def histogram(arts: DataFrame) -> DataFrame:
 
 @q("a24_confidence_quartiles", "select motor, count(*) as n, round(min(confianza), 4) as minimo, round(quantile_cont(confianza, 0.25), 4) as q1, round(quantile_cont(confianza, 0.5), 4) as mediana, round(quantile_cont(confianza, 0.75), 4) as q3, round(max(confianza), 4) as maximo from ocr where confianza is not null group by motor", "ocr")
 def quartiles(ocr: DataFrame) -> DataFrame:
-    at = lambda p: F.round(F.percentile("confianza", F.lit(p)), 4)
-    return ocr.where("confianza is not null").groupBy("motor").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("confianza"), 4).alias("minimo"), at(0.25).alias("q1"), at(0.5).alias("mediana"), at(0.75).alias("q3"), F.round(F.max("confianza"), 4).alias("maximo"))
+    """Values are counted first, so a group holds its distinct values and not its rows."""
+    at = lambda p: F.round(F.percentile("confianza", F.lit(p), F.col("k")), 4)
+    counted = ocr.where("confianza is not null").groupBy("motor", "confianza").agg(F.count(F.lit(1)).alias("k"))
+    return counted.groupBy("motor").agg(F.sum("k").alias("n"), F.round(F.min("confianza"), 4).alias("minimo"), at(0.25).alias("q1"), at(0.5).alias("mediana"), at(0.75).alias("q3"), F.round(F.max("confianza"), 4).alias("maximo"))
 
 
 @q("a61_overview", f"with {sql_tokens(3, True)}, e as (select unnest(t) as w from tok) select (select count(*) from tok) as documentos, count(*) as palabras, count(distinct w) as vocabulario from e", "documents")
@@ -283,7 +285,11 @@ h as (select base, total, parts, unnest(generate_series(1, len(parts) - 1)) as k
 select round((base + list_sum(list_transform(parts[1:k], lambda y: length(y))) + 6 * (k - 1)) / total, 6) as lugar from h""", "documents")
 def dispersion(docs: DataFrame) -> DataFrame:
     """Places of the hits in the concatenated corpus, as shares; offsets are running sums of range partitions."""
-    s = docs.where("text is not null").select("doc_id", F.lower("text").alias("s"), (F.length("text") + 1).alias("n"))
+    # hits first: only lengths and places are sorted, never texts
+    word = "teatro"
+    parts = F.split(F.lower("text"), word)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, y: a + F.length(y)) + len(word) * (k - 1))
+    s = docs.where("text is not null").select("doc_id", (F.length("text") + 1).alias("n"), F.when(F.lower("text").contains(word), ends).alias("ends"))
     bounds = s.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     cell = F.floor((F.col("doc_id") - F.col("lo")) * 1024 / (F.col("hi") - F.col("lo") + 1))
     s = s.crossJoin(F.broadcast(bounds)).withColumn("cell", cell).drop("lo", "hi")  # one row
@@ -291,10 +297,8 @@ def dispersion(docs: DataFrame) -> DataFrame:
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("total"))
     inside = Window.partitionBy("cell").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = s.withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "cell").where(F.col("s").contains("teatro"))
-    parts = F.split("s", "teatro")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, y: a + F.length(y)) + 6 * (k - 1))
-    return placed.select(F.explode(ends).alias("at"), "base", "start", "total").select(F.round((F.col("start") + F.col("base") + F.col("at")) / F.col("total"), 6).alias("lugar"))
+    placed = s.withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0))).where("ends is not null").join(F.broadcast(starts), "cell")
+    return placed.select(F.explode("ends").alias("at"), "base", "start", "total").select(F.round((F.col("start") + F.col("base") + F.col("at")) / F.col("total"), 6).alias("lugar"))
 
 
 _TERMS = ["teatro", "orquesta", "revista"]

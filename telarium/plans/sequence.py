@@ -101,7 +101,7 @@ def drop_caps(ocr: DataFrame) -> DataFrame:
     return x.where("n <= 3 and n * 1.8 <= m").select("id", "k")
 
 
-@q("j10_zone_iou", f"with {_Z}, b as (select * from z where k % 2 = 0), c as (select id, k, x0, y0 - (y1 - y0) / 4 as y0, x1, y1 from z where k % 2 = 0), o as (select b.id, b.k as a, c.k as b, greatest(0, least(b.x1, c.x1) - greatest(b.x0, c.x0)) * greatest(0, least(b.y1, c.y1) - greatest(b.y0, c.y0)) as i, (b.x1 - b.x0) * (b.y1 - b.y0) as s1, (c.x1 - c.x0) * (c.y1 - c.y0) as s2 from b join c on b.id = c.id and b.y0 < c.y1 and c.y0 < b.y1), u as (select id, a, b, i / (s1 + s2 - i) as iou from o where s1 + s2 - i > 0) select id, a::int as a, arg_max(b, struct_pack(v := round(iou, 6), k := b))::int as b, round(max(iou), 4) as iou from u where iou >= 0.5 group by 1, 2", "ocr")
+@q("j10_zone_iou", f"with {_Z}, b as (select * from z), c as (select id, k, x0, y0 - (y1 - y0) / 4 as y0, x1, y1 from z), o as (select b.id, b.k as a, c.k as b, greatest(0, least(b.x1, c.x1) - greatest(b.x0, c.x0)) * greatest(0, least(b.y1, c.y1) - greatest(b.y0, c.y0)) as i, (b.x1 - b.x0) * (b.y1 - b.y0) as s1, (c.x1 - c.x0) * (c.y1 - c.y0) as s2 from b join c on b.id = c.id and b.y0 < c.y1 and c.y0 < b.y1), u as (select id, a, b, i / (s1 + s2 - i) as iou from o where s1 + s2 - i > 0) select id, a::int as a, arg_max(b, struct_pack(v := round(iou, 6), k := b))::int as b, round(max(iou), 4) as iou from u where iou >= 0.5 group by 1, 2", "ocr")
 def zone_iou(ocr: DataFrame) -> DataFrame:
     """The best overlap of each zone among the zones of a second reading, on one page and with overlapping rows."""
     z = S.zones(ocr)

@@ -29,7 +29,7 @@ def intertextual(docs: DataFrame) -> DataFrame:
     return s.select(F.explode(F.array("a", "b")).alias("nodo")).groupBy("nodo").agg(F.count(F.lit(1)).alias("grado"))
 
 
-@q("j6_duplicate_pairs", f"with {sql_tokens(4)}, s as (select doc_id, list_distinct(t) as t from tok where len(list_distinct(t)) >= 20), e as (select doc_id, len(t) as n, unnest(t) as w from s), c as (select a.doc_id as a, b.doc_id as b, count(*) / least(any_value(a.n), any_value(b.n)) as c from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c, 4) as coef from c where round(c, 4) >= 0.8", "documents")
+@q("j6_duplicate_pairs", f"with {sql_tokens(4)}, s as (select doc_id, list_distinct(t) as t from tok where len(t) > 0), e as (select doc_id, len(t) as n, unnest(t) as w from s), c as (select a.doc_id as a, b.doc_id as b, count(*) / least(any_value(a.n), any_value(b.n)) as c from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c, 4) as coef from c where round(c, 4) >= 0.5", "documents")
 def duplicate_pairs(docs: DataFrame) -> DataFrame:
     return S.overlap_pairs(toks(docs, 4), 0.5)
 
@@ -60,7 +60,12 @@ def nearest_seeds(docs: DataFrame) -> DataFrame:
     return near.withColumn("puesto", rank).where("puesto <= 5").select(F.col("r").alias("palabra"), F.col("g").alias("sugerencia"), "d", "puesto")
 
 
-@q("f28_bounded_levenshtein", "select nombre, nombre_nuevo, case when abs(length(nombre) - length(nombre_nuevo)) > 3 then 99 else levenshtein(strip_accents(nombre), strip_accents(nombre_nuevo)) end as d from revision_entidades where nombre_nuevo <> '' and regexp_full_match(strip_accents(nombre || nombre_nuevo), '[ -~]*')", "revision_entidades")
+# DuckDB counts edits of bytes: every character beyond ASCII becomes a byte of its own there, one for one
+_SPARE = "array_to_string(list_transform(generate_series(1, 31), lambda i: chr(i::int)), '')"
+_CH = "ch as (select coalesce(string_agg(c, '' order by c), '') as f from (select distinct unnest(regexp_extract_all({x}, '[^ -~]')) as c from x))"
+
+
+@q("f28_bounded_levenshtein", f"with x as (select nombre, nombre_nuevo, strip_accents(nombre) as a, strip_accents(nombre_nuevo) as b from revision_entidades where nombre_nuevo <> ''), {_CH.format(x='a || b')} select nombre, nombre_nuevo, case when abs(length(nombre) - length(nombre_nuevo)) > 3 then 99 else levenshtein(translate(a, f, {_SPARE}), translate(b, f, {_SPARE})) end as d from x, ch", "revision_entidades")
 def bounded(rev: DataFrame) -> DataFrame:
     """99 where the lengths differ by more than three."""
     from telarium.functions.text import stripped
@@ -69,7 +74,7 @@ def bounded(rev: DataFrame) -> DataFrame:
     return x.select("nombre", "nombre_nuevo", F.when(F.abs(F.length("nombre") - F.length("nombre_nuevo")) > 3, 99).otherwise(F.levenshtein("a", "b")).alias("d"))
 
 
-@q("f27_levenshtein", "select texto_norm, lower(strip_accents(wikidata_lbl)) as etiqueta, levenshtein(texto_norm, lower(strip_accents(wikidata_lbl))) as d from autoridades_cache where wikidata_lbl is not null and regexp_full_match(texto_norm || strip_accents(wikidata_lbl), '[ -~]*')", "autoridades_cache")
+@q("f27_levenshtein", f"with x as (select texto_norm, lower(strip_accents(wikidata_lbl)) as etiqueta from autoridades_cache where wikidata_lbl is not null), {_CH.format(x='texto_norm || etiqueta')} select texto_norm, etiqueta, levenshtein(translate(texto_norm, f, {_SPARE}), translate(etiqueta, f, {_SPARE})) as d from x, ch", "autoridades_cache")
 def levenshtein(aut: DataFrame) -> DataFrame:
     from telarium.functions.text import stripped
 

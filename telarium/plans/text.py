@@ -13,7 +13,8 @@ PLAN = Plan()
 QUERIES, SQL = PLAN.queries, PLAN.sql
 q = PLAN.query
 
-SHORT_OK = ["a", "al", "de", "el", "en", "es", "la", "le", "lo", "me", "mi", "ni", "no", "o", "se", "si", "su", "te", "tu", "un", "y", "ya", "él", "tú", "yo", "da", "fue"]
+# Words of one or two letters that are no fragments.
+SHORT_OK = ["a", "y", "o", "e", "u", "de", "la", "el", "en", "un", "es", "se", "no", "lo", "al", "su", "si", "ya", "me", "te", "le", "mi", "tu", "ni", "os", "da", "va", "ha", "he", "fe", "ver", "df"]
 _SHORT = ", ".join(f"'{w}'" for w in SHORT_OK)
 _LAST = "(select arg_max(texto_crudo, id) as t, articulo_id from ocr where texto_crudo is not null group by articulo_id)"
 
@@ -31,7 +32,7 @@ def latest_text(ocr: DataFrame) -> DataFrame:
 _METRICS = rf"""m as (select id, articulo_id, len(x) as tokens, len(list_filter(x, lambda w: length(w) > 16)) as fundidas,
   len(list_filter(x, lambda w: length(w) <= 2 and w not in ({_SHORT}))) as fragmentos
   from (select id, articulo_id, regexp_extract_all(lower(coalesce(texto_crudo, '')), '\p{{L}}+') as x from ocr))"""
-_VERDICT = """case when tokens < 200 then 'revisar' when fragmentos * 100.0 / tokens >= 20 then 'inservible' when fragmentos * 100.0 / tokens >= 10 then 'revisar' when fundidas * 100.0 / tokens >= 1 then 'revisar' else 'apto' end"""
+_VERDICT = """case when tokens < 200 then 'revisar' when fragmentos * 100.0 / tokens >= 20 then 'no_utilizable' when fragmentos * 100.0 / tokens >= 10 then 'revisar' when fundidas * 100.0 / tokens >= 1 then 'revisar' else 'utilizable' end"""
 
 
 def metrics(ocr: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def metrics(ocr: DataFrame) -> DataFrame:
 def verdict() -> Column:
     """Too little text, fragments, fused words."""
     share = lambda c: F.col(c) * 100.0 / F.nullif(F.col("tokens"), F.lit(0))
-    return F.when(F.col("tokens") < 200, "revisar").when(share("fragmentos") >= 20, "inservible").when((share("fragmentos") >= 10) | (share("fundidas") >= 1), "revisar").otherwise("apto")
+    return F.when(F.col("tokens") < 200, "revisar").when(share("fragmentos") >= 20, "no_utilizable").when((share("fragmentos") >= 10) | (share("fundidas") >= 1), "revisar").otherwise("utilizable")
 
 
 @q("a35_quality_metrics", f"with {_METRICS} select * from m", "ocr")
@@ -143,9 +144,20 @@ def normalise(ocr: DataFrame) -> DataFrame:
     return ocr.where("texto_crudo is not null").select("id", C.normalise(F.col("texto_crudo")).alias("texto"))
 
 
-@q("f17_historical_spelling", r"select doc_id, replace(replace(replace(lower(text), 'médico', 'medico'), 'quizá', 'quizás'), 'fué', 'fue') as texto from documents where text is not null", "documents")
+# Old spellings of whole words and their present ones; a table of one's own may take its place.
+SPELLINGS = {"fué": "fue", "fuí": "fui", "dió": "dio", "vió": "vio", "á": "a", "ó": "o", "é": "e", "ú": "u", "quizá": "quizás", "obscuro": "oscuro", "obscura": "oscura", "substituir": "sustituir"}
+
+
+def _nested(c: str, rules: dict[str, str]) -> str:
+    for old, new in rules.items():
+        c = rf"regexp_replace(regexp_replace({c}, '(^|[^\p{{L}}]){old}([^\p{{L}}]|$)', '\1{new}\2', 'g'), '(^|[^\p{{L}}]){old}([^\p{{L}}]|$)', '\1{new}\2', 'g')"
+    return c
+
+
+@q("f17_historical_spelling", f"select doc_id, {_nested('lower(text)', SPELLINGS)} as texto from documents where text is not null", "documents")
 def spelling(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select("doc_id", F.replace(F.replace(F.replace(F.lower("text"), F.lit("médico"), F.lit("medico")), F.lit("quizá"), F.lit("quizás")), F.lit("fué"), F.lit("fue")).alias("texto"))
+    """Whole words only: what merely holds an old form keeps its letters."""
+    return docs.where("text is not null").select("doc_id", C.respell(F.lower("text"), SPELLINGS).alias("texto"))
 
 
 @q("f18_lemmas", r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as w from documents where text is not null)
@@ -304,9 +316,19 @@ def json_flatten(cache: DataFrame) -> DataFrame:
     return cache.where("resultado is not null").select("texto", "categoria", r.alias("r")).select("texto", "categoria", F.concat(F.col("r.label"), F.lit(": "), F.coalesce("r.description", F.lit(""))).alias("plano"))
 
 
-@q("f33_whole_word_replace", r"select doc_id, regexp_replace(text, '(^|[^\p{L}])orquesta([^\p{L}]|$)', '\1banda\2', 'g') as texto from documents where contains(text, 'orquesta')", "documents")
+_ONCE = r"regexp_replace({t}, '(^|[^\p{{L}}])orquesta([^\p{{L}}]|$)', '\1banda\2', 'g')"
+
+
+@q("f33_whole_word_replace", f"select doc_id, {_ONCE.format(t=_ONCE.format(t='text'))} as texto from documents where contains(text, 'orquesta')", "documents")
 def replace_word(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").contains("orquesta")).select("doc_id", F.regexp_replace("text", r"(^|[^\p{L}])orquesta([^\p{L}]|$)", "$1banda$2").alias("texto"))
+    """All hits, neighbours that share a separator too."""
+    return docs.where(F.col("text").contains("orquesta")).select("doc_id", C.replace_word(F.col("text"), "orquesta", "banda").alias("texto"))
+
+
+@q("f33_replace_nth", r"select doc_id, regexp_replace(text, '^((?s:.*?)(?:^|[^\p{L}])orquesta(?:[^\p{L}](?s:.*?[^\p{L}])?))orquesta([^\p{L}]|$)', '\1banda\2') as texto from documents where contains(text, 'orquesta')", "documents")
+def replace_nth(docs: DataFrame) -> DataFrame:
+    """The second hit only."""
+    return docs.where(F.col("text").contains("orquesta")).select("doc_id", C.replace_word(F.col("text"), "orquesta", "banda", 2).alias("texto"))
 
 
 @q("s13_extraction_mode", r"with p as (select articulo_id, avg(length(texto_crudo)) as largo, sum(length(regexp_replace(texto_crudo, '[^\p{L}\p{N} \n]', '', 'g'))) / sum(length(texto_crudo)) as limpio from ocr where length(texto_crudo) > 0 group by 1) select articulo_id, case when largo < 80 then 'escaneado' when limpio < 0.5 then 'escaneado con ruido' else 'digital' end as modo, round(limpio, 4) as limpio from p", "ocr")

@@ -39,14 +39,25 @@ def project(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.posexplode("articulos").alias("posicion", "a")).select("posicion", "a.*")
 
 
+_TAG = r"""(?i)<meta\b((?:[^<>"']|"[^"]*"|'[^']*')*)>"""
+_ATTRIBUTE = r"""([\p{L}\p{N}:_.-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+
+
+def _attributes(tag: Column) -> Column:
+    """Map of a tag's attributes, in any order and with any or no quotes; of equal ones the first holds, as browsers have it."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1), lambda x: F.lower(x))
+    values = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2), lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    first = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(first)
+
+
 def meta_tags(html: Column) -> Column:
-    """Map of name or property to content, either order of attributes, keys in lower case, the last wins."""
-    first = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s+(?:name|property)=["']([^"']+)["']\s+content=["'][^"']*["']"""), 1)
-    first_v = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s+(?:name|property)=["'][^"']+["']\s+content=["']([^"']*)["']"""), 1)
-    second = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s+content=["'][^"']*["']\s+(?:name|property)=["']([^"']+)["']"""), 1)
-    second_v = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s+content=["']([^"']*)["']\s+(?:name|property)=["'][^"']+["']"""), 1)
-    keys = F.transform(F.concat(first, second), lambda k: F.lower(k))
-    pairs = F.arrays_zip(keys.alias("k"), F.concat(first_v, second_v).alias("v"))
+    """Map of name or property to content; each tag is taken whole, then its attributes are read. The last of a name wins."""
+    tags = F.transform(F.regexp_extract_all(html, F.lit(_TAG), 1), _attributes)
+    get = lambda m, *ks: F.coalesce(*(F.try_element_at(m, F.lit(k)) for k in ks))
+    pairs = F.transform(tags, lambda m: F.struct(F.lower(get(m, "name", "property")).alias("k"), get(m, "content").alias("v")))
+    pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
@@ -62,7 +73,8 @@ def clean_html(c: Column) -> Column:
 def metadata(df: DataFrame, html: str) -> DataFrame:
     """Title, author, date and language by precedence of the notations."""
     m = F.col("m")
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    # what stands between the title's tags
+    title = F.regexp_replace(F.regexp_substr(html, F.lit(r"(?i)<title\b[^<]*")), r"(?i)^<title\b[^>]*>", "")
     first = lambda *ks: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in ks])
     x = df.withColumn("m", meta_tags(F.col(html))).withColumn("t", clean_html(title))
     return x.select(

@@ -40,7 +40,7 @@ def test_quality(spark):
     assert (got[1]["tokens"], got[1]["fragmentos"], got[1]["fundidas"]) == (8, 0, 0)
     assert got[2]["tokens"] == 0
     m = spark.createDataFrame([(199, 0, 0), (1000, 100, 0), (1000, 200, 0), (1000, 0, 10), (1000, 99, 9)], "tokens int, fragmentos int, fundidas int")
-    assert [r[0] for r in m.select(text_plans.verdict()).collect()] == ["revisar", "revisar", "inservible", "revisar", "apto"]
+    assert [r[0] for r in m.select(text_plans.verdict()).collect()] == ["revisar", "revisar", "no_utilizable", "revisar", "utilizable"]
 
 
 @pytest.mark.parametrize("words, pos, neg", [(["ni", "alegre"], 0, 1), (["alegre"], 1, 0), (["triste"], 0, 1), (["nunca", "x", "y", "triste"], 1, 0), (["nunca", "x", "y", "z", "triste"], 0, 1), ([], 0, 0)])
