@@ -94,21 +94,9 @@ def quotations(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.explode(F.filter(found, enough)).alias("cita"))
 
 
-@pandas_udf(StringType())
-def join_hyphens(s: pd.Series) -> pd.Series:
-    """A hyphen before a break, with up to four blank lines between, repeatedly."""
-    import re
-
-    gap = re.compile(r"([^\W\d_])[-¬]\s*?\n(?:[ \t]*\n){0,4}[ \t]*([^\W\d_])")
-
-    def one(t: str) -> str:
-        while True:
-            u = gap.sub(r"\1\2", t)
-            if u == t:
-                return t
-            t = u
-
-    return s.map(one)
+def join_hyphens(c: Column) -> Column:
+    """A hyphen before a break, with up to four blank lines between; neighbours on both sides stay in place."""
+    return F.regexp_replace(c, r"(?<=\p{L})[-¬][ \t\r]*\n(?:[ \t\r]*\n){0,4}[ \t\r]*(?=\p{L})", "")
 
 
 @pandas_udf(StringType())
@@ -148,3 +136,10 @@ def replace_word(c: Column, old: str, new: str, nth: int | None = None) -> Colum
     if nth is None:
         return F.regexp_replace(c, word, new)
     return F.regexp_replace(c, rf"(?s)\A((?:.*?{word}){{{nth - 1}}}.*?){word}", rf"$1{new}")
+
+
+def lemmatise(words: DataFrame, table: dict[str, str]) -> DataFrame:
+    """adds lema and origen to distinct words `w`."""
+    made = F.create_map(*[F.lit(x) for p in table.items() for x in p])
+    found = F.try_element_at(made, F.lower("w"))
+    return words.withColumn("lema", F.coalesce(found, F.lower("w"))).withColumn("origen", F.when(found.isNotNull(), "excepcion").otherwise("original"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from telarium.functions import text as T
@@ -48,19 +47,12 @@ def recognise(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.explode(found).alias("texto"))
 
 
-@pandas_udf(StructType([StructField("inicio", IntegerType()), StructField("fin", IntegerType())]))
-def align(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """the span moved out to the limits of the words it touches."""
-
-    def one(s: str, i: int, j: int) -> tuple[int, int]:
-        i, j = max(0, min(int(i), len(s))), max(0, min(int(j), len(s)))
-        while i > 0 and s[i - 1].isalnum():
-            i -= 1
-        while j < len(s) and s[j].isalnum():
-            j += 1
-        return i, j
-
-    return pd.DataFrame([one(*x) for x in zip(t, a, b, strict=True)], columns=["inicio", "fin"])
+def align(t: Column, a: Column, b: Column) -> Column:
+    """the span moved out to the limits of the words it touches, by the runs of letters and digits at its ends."""
+    at = lambda x: F.greatest(F.lit(0), F.least(x.cast("int"), F.length(t)))
+    before = F.regexp_extract(F.substring(t, F.lit(1), at(a)), r"([\p{L}\p{N}]*)\z", 1)
+    after = F.regexp_extract(F.substring(t, at(b) + 1, F.length(t)), r"\A([\p{L}\p{N}]*)", 1)
+    return F.struct((at(a) - F.length(before)).alias("inicio"), (at(b) + F.length(after)).alias("fin"))
 
 
 def link_scores(cache: DataFrame, keep: list[str] | None = None) -> DataFrame:

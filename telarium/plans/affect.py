@@ -27,10 +27,10 @@ def polar(docs: DataFrame) -> DataFrame:
     return A.polarity(docs.where("text is not null").select("doc_id", "publicacion", "source", T.words(F.col("text")).alias("w")))
 
 
-@q("f10_polarity", f"with {_POLAR} select doc_id, pos, neg, puntaje, etiqueta from lab", "documents")
+@q("f10_polarity", f"with {_POLAR} select doc_id, pos, neg, puntaje, etiqueta, round(case when n > 0 then (pos + neg) / n else 0 end, 4) as densidad from lab", "documents")
 def polarity(docs: DataFrame) -> DataFrame:
     """Lexicon polarity; a negator among the three words before turns the sign."""
-    return polar(docs).select("doc_id", "pos", "neg", "puntaje", "etiqueta")
+    return polar(docs).select("doc_id", "pos", "neg", "puntaje", "etiqueta", "densidad")
 
 
 @q("a30_polarity_distribution", f"with {_POLAR} select e as etiqueta, count(doc_id) as n from (values ('positivo'), ('negativo'), ('neutro')) v(e) left join lab on etiqueta = e group by e", "documents")
@@ -68,13 +68,13 @@ def entity_polarity_corpus(docs: DataFrame) -> DataFrame:
 
 
 _FRAME = ", ".join("(" + " + ".join(f"(len(regexp_extract_all(' ' || array_to_string(w, ' '), ' {m}')))" for m in ms) + f") as {f}" for f, ms in A.FRAMES.items())
-_FR = f"with {_W}, f as (select doc_id, publicacion, {_FRAME} from w), u as (unpivot f on {', '.join(A.FRAMES)} into name marco value n), r as (select *, row_number() over (partition by doc_id order by n desc, marco) as p, sum(n) over (partition by doc_id) as total from u)"
+_FR = f"with {_W}, f as (select doc_id, publicacion, {_FRAME} from w), u as (unpivot f on {', '.join(A.FRAMES)} into name marco value n), r as (select *, row_number() over (partition by doc_id order by n desc, marco) as p, sum(n) over (partition by doc_id) as total from u), tres as (select doc_id, coalesce(string_agg(marco, ', ' order by p) filter (n > 0 and p <= 3), '') as primeros from r group by 1)"
 
 
-@q("f12_frames", _FR + " select doc_id, case when n > 0 then marco else 'ninguno' end as marco, n as marcas, round(case when total > 0 then n * 100.0 / total else 0 end, 1) as pct from r where p = 1", "documents")
+@q("f12_frames", _FR + " select doc_id, case when n > 0 then marco else 'ninguno' end as marco, n as marcas, round(case when total > 0 then n * 100.0 / total else 0 end, 1) as pct, primeros from r join tres using (doc_id) where p = 1", "documents")
 def frames(docs: DataFrame) -> DataFrame:
     """Marker counts, anchored on the left, and the dominant frame."""
-    return A.frames(docs.where("text is not null").select("doc_id", "publicacion", T.words(F.col("text")).alias("w"))).select("doc_id", "marco", "marcas", "pct")
+    return A.frames(docs.where("text is not null").select("doc_id", "publicacion", T.words(F.col("text")).alias("w"))).select("doc_id", "marco", "marcas", "pct", "primeros")
 
 
 @q("a33_frame_distribution", _FR + " select case when n > 0 then marco else 'ninguno' end as marco, count(*) as n from r where p = 1 group by 1", "documents")
@@ -93,7 +93,7 @@ def section_frame(docs: DataFrame) -> DataFrame:
 _EMO = ", ".join(f"len(list_filter(w, lambda y: y in {_in(ws)})) as {e}" for e, ws in A.EMOTIONS.items())
 
 
-@q("f13_emotion", f"with {_W}, f as (select doc_id, {_EMO} from w), u as (unpivot f on {', '.join(A.EMOTIONS)} into name emocion value n), r as (select *, row_number() over (partition by doc_id order by n desc, emocion) as p, sum(n) over (partition by doc_id) as total from u) select doc_id, case when n > 0 then emocion else 'ninguna' end as dominante, total::bigint as total from r where p = 1", "documents")
+@q("f13_emotion", f"with {_W}, f as (select doc_id, {_EMO} from w), u as (unpivot f on {', '.join(A.EMOTIONS)} into name emocion value n), r as (select *, row_number() over (partition by doc_id order by n desc, emocion) as p, sum(n) over (partition by doc_id) as total from u) select doc_id, case when n > 0 then emocion else 'ninguna' end as dominante, total::bigint as total, round(case when total > 0 then n * 100.0 / total else 0 end, 1) as pct, primeros from r join (select doc_id, coalesce(string_agg(emocion, ', ' order by p) filter (n > 0 and p <= 3), '') as primeros from r group by 1) using (doc_id) where p = 1", "documents")
 def emotion(docs: DataFrame) -> DataFrame:
     return A.emotions(docs.where("text is not null").select("doc_id", T.words(F.col("text")).alias("w")))
 

@@ -243,7 +243,7 @@ def recogniser(docs: DataFrame) -> DataFrame:
     return E.recognise(docs).groupBy("doc_id", "texto").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("f21_align_spans", None, "anotaciones", "ocr")
+@q("f21_align_spans", r"with t as (select articulo_id, arg_max(texto_crudo, id) as t from ocr where texto_crudo is not null group by 1), x as (select a.id, t, greatest(0, least(inicio_char, length(t)))::int as a, greatest(0, least(fin_char, length(t)))::int as b from anotaciones a join t on a.art_id = t.articulo_id where inicio_char is not null and fin_char is not null) select id, (a - length(regexp_extract(substr(t, 1, a), '([\p{L}\p{N}]*)$', 1)))::int as inicio, (b + length(regexp_extract(substr(t, b + 1), '^([\p{L}\p{N}]*)', 1)))::int as fin from x", "anotaciones", "ocr")
 def align(ann: DataFrame, ocr: DataFrame) -> DataFrame:
     """Spans moved out to the limits of words of the article's last text."""
     t = ocr.where("texto_crudo is not null").groupBy("articulo_id").agg(F.max_by("texto_crudo", "id").alias("t"))
@@ -305,7 +305,7 @@ def signatures(arts: DataFrame) -> DataFrame:
     return top(g, 60, F.desc("n"), F.asc("autor"))
 
 
-@q("t9_review_sample", None, "entidades")
+@q("t9_review_sample", "select id, texto, categoria, '' as codigo from entidades order by md5('42-' || id), id limit 100", "entidades")
 def review_sample(ents: DataFrame) -> DataFrame:
     """A seeded sample with blank coding columns; the size is the feature."""
-    return ents.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(100).select("id", "texto", "categoria", F.lit("").alias("codigo"))
+    return ents.orderBy(F.md5(F.concat(F.lit("42-"), F.col("id").cast("string")).cast("binary")), "id").limit(100).select("id", "texto", "categoria", F.lit("").alias("codigo"))

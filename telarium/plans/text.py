@@ -160,13 +160,20 @@ def spelling(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", C.respell(F.lower("text"), SPELLINGS).alias("texto"))
 
 
-@q("f18_lemmas", r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as w from documents where text is not null)
-select coalesce(m.lema, t.w) as lema, count(*) as n from t left join (values ('vendieron', 'vender'), ('dijo', 'decir'), ('cantó', 'cantar'), ('pesos', 'peso')) m(w, lema) using (w) group by 1""", "documents")
+# Irregular forms and their lemmas, for use where there is no table of one's own.
+LEMMAS = {
+    "anduvo": "andar", "cantó": "cantar", "condujo": "conducir", "cupo": "caber", "dijeron": "decir", "dijo": "decir", "dio": "dar", "estuvo": "estar", "fueron": "ser",
+    "había": "haber", "hizo": "hacer", "hubo": "haber", "pesos": "peso", "pudo": "poder", "puso": "poner", "quiso": "querer", "supo": "saber", "trajo": "traer", "tuvo": "tener",
+    "vendieron": "vender", "vino": "venir", "vio": "ver",
+}
+
+
+@q("f18_lemmas", rf"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) as w from documents where text is not null)
+select coalesce(m.lema, t.w) as lema, case when m.lema is null then 'original' else 'excepcion' end as origen, count(*) as n from t left join (values {", ".join(f"('{k}', '{v}')" for k, v in LEMMAS.items())}) m(w, lema) using (w) group by 1, 2""", "documents")
 def lemmas(docs: DataFrame) -> DataFrame:
-    """The exception dictionary, else the word itself."""
-    table = F.create_map(*[F.lit(x) for p in (("vendieron", "vender"), ("dijo", "decir"), ("cantó", "cantar"), ("pesos", "peso")) for x in p])
+    """The table of irregular forms, else the word itself, counted by lemma and origin."""
     t = docs.where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("w"))
-    return t.select(F.coalesce(F.try_element_at(table, F.col("w")), F.col("w")).alias("lema")).groupBy("lema").agg(F.count(F.lit(1)).alias("n"))
+    return C.lemmatise(t.groupBy("w").agg(F.count(F.lit(1)).alias("k")), LEMMAS).groupBy("lema", "origen").agg(F.sum("k").alias("n"))
 
 
 @q("f47_alphabetic_ratio", r"select doc_id, round(length(regexp_replace(text, '[^\p{L} ]', '', 'g')) / length(text), 4) as razon from documents where length(text) > 0", "documents")
@@ -244,9 +251,12 @@ def seams(ocr: DataFrame) -> DataFrame:
     return x.select("id", "linea", F.trim("a").alias("izquierda"), F.trim("b").alias("derecha"))
 
 
-@q("w10_hyphen_joining", None, "ocr")
+_JOIN = r"regexp_replace({t}, '(\p{{L}})[-¬][ \t\r]*\n(?:[ \t\r]*\n){{0,4}}[ \t\r]*(\p{{L}})', '\1\2', 'g')"
+
+
+@q("w10_hyphen_joining", f"select id, {_JOIN.format(t=_JOIN.format(t=_JOIN.format(t='texto_crudo')))} as texto from ocr where texto_crudo is not null", "ocr")
 def hyphens(ocr: DataFrame) -> DataFrame:
-    """Words rejoined over a line break, over up to four blank lines, repeatedly."""
+    """Words rejoined over a line break, over up to four blank lines."""
     return ocr.where("texto_crudo is not null").select("id", C.join_hyphens(F.col("texto_crudo")).alias("texto"))
 
 
