@@ -125,3 +125,18 @@ def rebuild(z: DataFrame, tolerance: float = 0.003) -> DataFrame:
         return pd.DataFrame({"id": [pdf["id"].iloc[0]], "texto": [text]})
 
     return z.groupBy("id").applyInPandas(one, "id long, texto string")
+
+
+def stage_states(marks: DataFrame, order: list[str]) -> DataFrame:
+    """(proyecto, etapa, estado) from marks (proyecto, etapa, estado, v), v their order.
+
+    A stage has its last mark; a ready one is stale if an earlier stage was marked ready or stale after it; stages out of the order neither
+    change others nor are changed. The state is a function of the marks, so it can be told for any version.
+    """
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("etapa"))
+    touched = F.max(F.when(F.col("estado").isin("ready", "stale"), F.col("v"))).alias("touched")
+    last = marks.groupBy("proyecto", "etapa").agg(F.max_by("estado", "v").alias("estado"), F.max("v").alias("v"), touched).withColumn("k", at)
+    before = Window.partitionBy("proyecto").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # the stages of a project
+    x = last.withColumn("changed", F.max(F.when(F.col("k") > 0, F.col("touched"))).over(before))
+    stale = (F.col("estado") == "ready") & (F.col("k") > 0) & (F.col("changed") > F.col("v"))
+    return x.select("proyecto", "etapa", F.when(stale, "stale").otherwise(F.col("estado")).alias("estado"))

@@ -366,9 +366,3 @@ def jaccard_top(docs: DataFrame) -> DataFrame:
     a, b = (s.select(F.col("publicacion").alias(x), F.col("ws").alias(f"w{x}")) for x in "ab")
     j = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(j, 4).alias("jaccard"))  # a row a publication
-
-
-@q("a60_archaisms", rf"with {sql_tokens()} select doc_id, len(list_filter(t, lambda x: x in ('aquel', 'aquella', 'temprano', 'luego', 'quizá'))) as arcaismos, len(t) as palabras from tok", "documents")
-def archaisms(docs: DataFrame) -> DataFrame:
-    n = F.size(F.filter("t", lambda x: x.isin("aquel", "aquella", "temprano", "luego", "quizá")))
-    return toks(docs).select("doc_id", n.alias("arcaismos"), F.size("t").alias("palabras"))

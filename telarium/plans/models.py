@@ -30,7 +30,7 @@ def topic_csv(docs: DataFrame) -> DataFrame:
 
 @q("m2_nmf", None, "documents")
 def nmf(docs: DataFrame) -> DataFrame:
-    return M.nmf(toks(docs, 4, STOP))
+    return M.nmf(toks(docs, 4, STOP))[0]
 
 
 def _vectors(emb: DataFrame) -> DataFrame:
@@ -42,23 +42,21 @@ def neural(emb: DataFrame) -> DataFrame:
     return M.clusters(_vectors(emb), 10)
 
 
-@q("m4_char_ngrams", None, "documents")
+_GRAMS = r"""w as (select doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as w from documents where length(text) > 0), k as (select doc_id, ' ' || w || ' ' as w, unnest([2, 3, 4]) as n from w),
+g as (select doc_id, unnest(list_transform(generate_series(1, length(w) - n + 1), lambda i: substr(w, i, n))) as g from k), e as (select doc_id, g, count(*) as n from g group by 1, 2),
+t as (select g, sum(n) as total, count(*) as df from e group by 1 order by total desc, g limit 3000), z as (select count(distinct doc_id) as z from e),
+y as (select doc_id, e.g, (ln(n) + 1) * (ln((1.0 + z) / (1.0 + df)) + 1) as y from e join t using (g), z), m as (select doc_id, sqrt(sum(y * y)) as norm from y group by 1), v as (select doc_id, g, y / norm as x from y join m using (doc_id))"""
+
+
+@q("m4_char_ngrams", f"with {_GRAMS} select doc_id, count(*) as rasgos, round(sum(x), 4) as suma, round(max(x), 4) as mayor from v group by 1", "documents")
 def char_ngrams(docs: DataFrame) -> DataFrame:
-    v = M.char_vectors(docs)
-    return v.select("doc_id", F.size(F.filter(vector_to_array("v"), lambda x: x > 0)).alias("rasgos"))
+    return M.char_ngrams(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rasgos"), F.round(F.sum("x"), 4).alias("suma"), F.round(F.max("x"), 4).alias("mayor"))
 
 
-@q("k3_stylometry_csv", None, "documents")
+@q("k3_stylometry_csv", f"with {_GRAMS}, o as (select doc_id, publicacion as clase from documents where publicacion is not null and doc_id in (select doc_id from v)), s as (select clase, count(*) as docs from o group by 1), c as (select clase, g, sum(x) / any_value(docs) as c from v join o using (doc_id) join s using (clase) group by 1, 2), h as (select clase, sqrt(sum(c * c)) as norm from c group by 1), d as (select doc_id, clase as candidata, round(sum(x * c / norm), 4) as sim from v join c using (g) join h using (clase) group by 1, 2), r as (select *, row_number() over (partition by doc_id order by sim desc, candidata) as puesto from d) select * from r where puesto <= 3", "documents")
 def stylometry(docs: DataFrame) -> DataFrame:
     """The three publications nearest in style to each document."""
-    from pyspark.ml.stat import Summarizer
-    from pyspark.sql import Window
-
-    v = M.char_vectors(docs).join(docs.select("doc_id", "publicacion"), "doc_id")
-    cen = v.where("publicacion is not null").groupBy("publicacion").agg(Summarizer.mean(F.col("v")).alias("c"))
-    s = v.select("doc_id", vector_to_array("v").alias("v")).crossJoin(F.broadcast(cen.select(F.col("publicacion").alias("candidata"), vector_to_array("c").alias("c"))))  # a row a publication
-    r = s.select("doc_id", "candidata", F.round(cosine(F.col("v"), F.col("c")), 4).alias("sim"))
-    return r.withColumn("puesto", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sim"), "candidata"))).where("puesto <= 3")
+    return M.nearest_styles(M.char_ngrams(docs), docs.select("doc_id", F.col("publicacion").alias("clase")))
 
 
 @q("m6_style_clusters", None, "documents")

@@ -40,7 +40,7 @@ def benchmark_csv(ocr: DataFrame) -> DataFrame:
     return c.select(F.concat_ws(";", "motor", F.col("paginas").cast("string"), F.col("errores").cast("string")).alias("linea"))
 
 
-@q("k20_manifest", sources._HASH.replace("select sha256(string_agg(h, '' order by b)) as hash from b", "select 'csv' as formato, sha256(string_agg(h, '' order by b)) as hash, (select count(*) from h) as documentos from b"), "documents")
+@q("k20_manifest", sources._HASH.replace("select sha256(string_agg(h, '' order by b)) as hash from b3", "select 'csv' as formato, sha256(string_agg(h, '' order by b)) as hash, (select count(*) from h) as documentos from b3"), "documents")
 def manifest(docs: DataFrame) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("documentos"))
     return sources.corpus_hash(docs).crossJoin(n).select(F.lit("csv").alias("formato"), "hash", "documentos")  # one row each

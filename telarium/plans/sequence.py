@@ -158,3 +158,13 @@ def pending(arts: DataFrame, ocr: DataFrame) -> DataFrame:
     return arts.select("id").distinct().join(done, "id", "left_anti")
 
 
+
+
+_STAGES = ["view", "click", "signup", "purchase", "error"]
+
+
+@q("w16_stage_state", f"with m as (select user_id as proyecto, event_type as etapa, case when event_id % 5 = 0 then 'pending' else 'ready' end as estado, event_id as v, list_position([{', '.join(repr(x) for x in _STAGES)}], event_type) as k from events), l as (select proyecto, etapa, k, arg_max(estado, v) as estado, max(v) as v from m group by 1, 2, 3) select l.proyecto, l.etapa, case when l.estado = 'ready' and exists (select 1 from m where m.proyecto = l.proyecto and m.k < l.k and m.estado = 'ready' and m.v > l.v) then 'stale' else l.estado end as estado from l", "events")
+def stage_state(ev: DataFrame) -> DataFrame:
+    """Events as marks of the stages of each user's project."""
+    marks = ev.select(F.col("user_id").alias("proyecto"), F.col("event_type").alias("etapa"), F.when(F.col("event_id") % 5 == 0, "pending").otherwise("ready").alias("estado"), F.col("event_id").alias("v"))
+    return S.stage_states(marks, _STAGES)

@@ -12,7 +12,7 @@ from telarium.operators.sequence import zones
 from telarium.plans.entities import _CAN, N
 from telarium.plans.graph import _G, capped
 from telarium.plans.registry import Plan
-from telarium.session import read, table_path
+from telarium.session import materialise, read, table_path
 from telarium.sources import files as S
 
 PLAN = Plan()
@@ -32,20 +32,29 @@ SQL["s1_issue_text"] = r"select publicacion, count(*) as paginas, sum(length(reg
 
 
 def s8_project_scan(spark, sf_dir: str) -> DataFrame:
-    """Articles written as JSON and read again."""
+    """Projects as documents with their articles embedded, one a line, written and read again in their order."""
     path = table_path(spark, "proyecto")
-    read(spark, sf_dir, "articulos").select("id", "numero", "titulo").write.json(path)
-    return spark.read.schema("id string, numero string, titulo string").json(path).groupBy("numero").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("titulo").alias("titulos"))
+    arts = read(spark, sf_dir, "articulos").groupBy("numero").agg(F.array_sort(F.collect_set(F.struct("id", F.coalesce("titulo", F.lit("")).alias("titulo")))).alias("articulos"))  # an issue's
+    arts.write.json(path)
+    found = S.project(spark, path, "numero string, articulos array<struct<id string, titulo string>>", lines=True)
+    return found.select("numero", "posicion", "id", "titulo")
 
 
 QUERIES["s8_project_scan"] = s8_project_scan
-SQL["s8_project_scan"] = "select numero, count(*) as n, count(distinct titulo) as titulos from articulos group by 1"
+SQL["s8_project_scan"] = "select numero, (row_number() over (partition by numero order by id, titulo) - 1)::int as posicion, id, titulo from (select distinct numero, id, coalesce(titulo, '') as titulo from articulos)"
 
 
-@q("s2_page_metadata", r"select o.id, articulo_id, case when trim(coalesce(texto_crudo, ''), ' ') = '' then 0 else len(regexp_extract_all(texto_crudo, '[^\s]+')) end as palabras, coalesce(motor, 'conversor') as motor, coalesce(confianza < 0.6, false) as revisar from ocr o", "ocr")
-def page_metadata(ocr: DataFrame) -> DataFrame:
-    n = F.size(F.regexp_extract_all(F.coalesce("texto_crudo", F.lit("")), F.lit(r"([^\s]+)"), 1))
-    return ocr.select("id", "articulo_id", n.alias("palabras"), F.coalesce("motor", F.lit("conversor")).alias("motor"), F.coalesce(F.col("confianza") < 0.6, F.lit(False)).alias("revisar"))
+def s2_page_metadata(spark, sf_dir: str) -> DataFrame:
+    """One row a page; what an earlier table (a CSV of half of the pages) tells of the method is kept."""
+    ocr = read(spark, sf_dir, "ocr")
+    path = table_path(spark, "meta")
+    ocr.where("id % 2 = 0").select("id", F.concat_ws("/", "motor", "version_motor").alias("metodo")).write.csv(path, header=True)
+    return S.page_metadata(ocr, spark.read.schema("id long, metodo string").csv(path, header=True))
+
+
+QUERIES["s2_page_metadata"] = s2_page_metadata
+SQL["s2_page_metadata"] = r"""select id, articulo_id, case when trim(coalesce(texto_crudo, ''), ' ') = '' then 0 else len(regexp_extract_all(texto_crudo, '[^\s]+')) end as palabras,
+ coalesce(case when id % 2 = 0 then nullif(concat_ws('/', motor, version_motor), '') end, 'conversor') as metodo, coalesce(confianza < 0.6, false) as revisar from ocr"""
 
 
 @q("s3_metadata_materialise", "select id, coalesce(try_cast(palabras as int), 0) as palabras from articulos", "articulos")
@@ -98,6 +107,17 @@ def meta_tags(docs: DataFrame) -> DataFrame:
     return web(docs).withColumn("m", S.meta_tags(F.col("html"))).select("doc_id", F.size("m").alias("n"), F.try_element_at("m", F.lit("dc.language")).alias("lengua"))
 
 
+@q("s15_metadata_precedence", "select doc_id, case when doc_id % 3 = 0 then publicacion || ' oai' when doc_id % 2 = 0 then publicacion || ' ld' else nullif(publicacion, '') end as titulo, case when doc_id % 2 = 0 then source else null end as autor, case when doc_id % 2 = 0 then anio::varchar || '-05' else anio::varchar end as fecha, case when doc_id % 3 = 0 then 'oai' when doc_id % 2 = 0 then 'json-ld' else 'html' end as origen from documents where publicacion is not null and anio is not null", "documents")
+def metadata_precedence(docs: DataFrame) -> DataFrame:
+    """Records in three notations: a harvested record wins over linked data, and these over the page's own tags."""
+    x = docs.where("publicacion is not null and anio is not null")
+    oai = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<record><metadata><oai_dc:dc><dc:title>"), _xml(F.col("publicacion")), F.lit(" oai</dc:title></oai_dc:dc></metadata></record>")))
+    ld = F.to_json(F.struct(F.concat("publicacion", F.lit(" ld")).alias("name"), F.struct(F.col("source").alias("name")).alias("author"), F.concat(F.col("anio").cast("string"), F.lit("-05")).alias("datePublished")))
+    script = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"))).otherwise("")
+    html = F.concat(F.lit("<html><head><title>"), _xml(F.col("publicacion")), F.lit('</title><meta name=date content='), F.col("anio").cast("string"), F.lit(">"), script, F.lit("</head></html>"))
+    return S.by_precedence(x.select("doc_id", oai.alias("oai"), html.alias("html")), "oai", "html")
+
+
 @q("s18_html_cleaning", "select doc_id, coalesce(publicacion, '') as texto from documents", "documents")
 def cleaning(docs: DataFrame) -> DataFrame:
     return web(docs).select("doc_id", S.clean_html(F.col("html")).alias("texto"))
@@ -115,14 +135,28 @@ def entity_csv(ents: DataFrame) -> DataFrame:
     return ents.groupBy("categoria", T.plain(F.col("texto")).alias("entidad")).agg(F.countDistinct("articulo_id").alias("n_articulos"), F.array_join(ids, "; ").alias("articulos"))
 
 
-@q("k5_gexf_edges", f"with {_G} select '<edge source=\"' || a || '\" target=\"' || b || '\" weight=\"' || peso || '\"/>' as linea from g", "entidades")
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="{kind}"><nodes>'
+_GEXF = "with {g}, n as (select e, count(*) as grado from (select a as e from g union all select b from g) group by 1), l as (select 0 as parte, '{head}' as linea union all select 1, '<node id=\"' || e || '\" label=\"' || e || '\"{degree}/>' from n union all select 2, '</nodes><edges>' union all select 3, '<edge source=\"' || a || '\" target=\"' || b || '\" weight=\"' || peso || '\"/>' from g union all select 4, '</edges></graph></gexf>') select parte, linea from l"
+
+
+def _gexf(edges: DataFrame, kind: str, degree: bool) -> DataFrame:
+    """(parte, linea) of a whole document; written in the order of the parts it is the file."""
+    spark = edges.sparkSession
+    label = [F.lit('<node id="'), "nodo", F.lit('" label="'), "nodo", F.lit('"')] + ([F.lit(' grado="'), F.col("grado").cast("string"), F.lit('"')] if degree else [])
+    nodes = G.degrees(edges).select(F.lit(1).alias("parte"), F.concat(*label, F.lit("/>")).alias("linea"))
+    lines = edges.select(F.lit(3).alias("parte"), F.format_string('<edge source="%s" target="%s" weight="%d"/>', "a", "b", "peso").alias("linea"))
+    frame = spark.createDataFrame([(0, _HEAD.format(kind=kind)), (2, "</nodes><edges>"), (4, "</edges></graph></gexf>")], "parte int, linea string")
+    return frame.unionByName(nodes).unionByName(lines)
+
+
+@q("k5_gexf_edges", _GEXF.format(g=_G, head=_HEAD.format(kind="directed"), degree=""), "entidades")
 def gexf(ents: DataFrame) -> DataFrame:
-    return capped(ents).select(F.format_string('<edge source="%s" target="%s" weight="%d"/>', "a", "b", "peso").alias("linea"))
+    return _gexf(materialise(capped(ents), "aristas"), "directed", False)
 
 
-@q("k6_gephi_nodes", f"with {_G}, n as (select a as e from g union select b from g) select '<node id=\"' || e || '\" label=\"' || e || '\"/>' as linea from n", "entidades")
+@q("k6_gephi_nodes", _GEXF.format(g=_G, head=_HEAD.format(kind="undirected"), degree=" grado=\"' || grado || '\""), "entidades")
 def gephi(ents: DataFrame) -> DataFrame:
-    return G.degrees(capped(ents)).select(F.format_string('<node id="%s" label="%s"/>', "nodo", "nodo").alias("linea"))
+    return _gexf(materialise(capped(ents), "aristas"), "undirected", True)
 
 
 @q("k7_turtle", f"with {_CAN} select '<urn:' || categoria || ':' || norma || '> rdfs:label \"' || replace(nombre, '\"', '\\\"') || '\" .' as linea from c", "entidades")
@@ -138,31 +172,49 @@ def _xml(c):
 _X = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@q("k8_tei", "with t as (select articulo_id, arg_max(texto_crudo, id) as t from ocr where texto_crudo is not null group by 1) select articulo_id, '<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><text xml:id=\"' || articulo_id || '\"><body><p>' || " + _X.format(c="t") + " || '</p></body></text></TEI>' as xml from t", "ocr")
-def tei(ocr: DataFrame) -> DataFrame:
-    t = ocr.where("texto_crudo is not null").groupBy("articulo_id").agg(F.max_by("texto_crudo", "id").alias("t"))
-    return t.select("articulo_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text xml:id="'), "articulo_id", F.lit('"><body><p>'), _xml(F.col("t")), F.lit("</p></body></text></TEI>")).alias("xml"))
+_CLEAN = r"regexp_replace({c}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+_TEI = "t as (select articulo_id, arg_max(texto_crudo, id) as t from ocr where texto_crudo is not null group by 1), a as (select id, max(titulo) as titulo, max(autor) as autor, max(numero) as numero, max(fecha_publicacion) as fecha from articulos group by 1), e as (select articulo_id, count(*) as n, string_agg('<annotation><name type=\"' || categoria || '\">' || " + _X.format(c=_CLEAN.format(c="texto")) + " || '</name></annotation>', '' order by categoria, texto) as e from (select distinct articulo_id, categoria, texto from entidades where length(trim(texto)) > 2) group by 1)"
+_H = lambda c: _X.format(c=_CLEAN.format(c=f"coalesce({c}, '')"))
 
 
-@q("k9_tei_validation", None, "ocr")
-def tei_validation(ocr: DataFrame) -> DataFrame:
-    """Well-formedness of each document by an XML parser, batch by batch."""
+@q("k8_tei", "with " + _TEI + " select t.articulo_id, '<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><teiHeader><fileDesc><titleStmt><title>' || " + _H("titulo") + " || '</title><author>' || " + _H("autor") + " || '</author></titleStmt><publicationStmt><p/></publicationStmt><sourceDesc><bibl><biblScope unit=\"issue\">' || " + _H("numero") + " || '</biblScope><date>' || " + _H("fecha") + " || '</date></bibl></sourceDesc></fileDesc></teiHeader><standOff><listAnnotation>' || coalesce(e, '') || '</listAnnotation></standOff><text xml:id=\"' || t.articulo_id || '\"><body><p>' || " + _X.format(c=_CLEAN.format(c="t")) + " || '</p></body></text></TEI>' as xml from t left join a on a.id = t.articulo_id left join e on e.articulo_id = t.articulo_id", "ocr", "articulos", "entidades")
+def tei(ocr: DataFrame, arts: DataFrame, ents: DataFrame) -> DataFrame:
+    """One document an article: header, names of more than two letters as stand-off annotations, text."""
+    t = ocr.where("texto_crudo is not null").groupBy("articulo_id").agg(F.max_by("texto_crudo", "id").alias("t"))
+    a = arts.groupBy(F.col("id").alias("articulo_id")).agg(*(F.max(c).alias(c) for c in ("titulo", "autor", "numero", "fecha_publicacion")))
+    names = ents.where("length(trim(texto)) > 2").select("articulo_id", "categoria", "texto").distinct()
+    clean = lambda c: _xml(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    one = lambda x: F.concat(F.lit('<annotation><name type="'), x["categoria"], F.lit('">'), clean(x["texto"]), F.lit("</name></annotation>"))
+    e = names.groupBy("articulo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("categoria", "texto"))), one), "").alias("e"))  # an article's
+    h = lambda c: clean(F.coalesce(c, F.lit("")))
+    x = t.join(a, "articulo_id", "left").join(e, "articulo_id", "left")
+    head = [F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), h("titulo"), F.lit("</title><author>"), h("autor"), F.lit('</author></titleStmt><publicationStmt><p/></publicationStmt><sourceDesc><bibl><biblScope unit="issue">'), h("numero"), F.lit("</biblScope><date>"), h("fecha_publicacion"), F.lit("</date></bibl></sourceDesc></fileDesc></teiHeader>")]
+    off = [F.lit("<standOff><listAnnotation>"), F.coalesce("e", F.lit("")), F.lit("</listAnnotation></standOff>")]
+    return x.select("articulo_id", F.concat(*head, *off, F.lit('<text xml:id="'), "articulo_id", F.lit('"><body><p>'), clean(F.col("t")), F.lit("</p></body></text></TEI>")).alias("xml"))
+
+
+@q("k9_tei_validation", "with " + _TEI + " select t.articulo_id, true as bien_formado, true as espacio, true as cabecera, trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> '' as cuerpo, coalesce(n, 0)::int as anotaciones from t left join e on e.articulo_id = t.articulo_id", "ocr", "articulos", "entidades")
+def tei_validation(ocr: DataFrame, arts: DataFrame, ents: DataFrame) -> DataFrame:
+    """Each document through an XML parser: well-formed, name space, header, text, and the number of annotations."""
     import pandas as pd
 
     def check(batches):
         from xml.etree import ElementTree
 
+        ns = "{http://www.tei-c.org/ns/1.0}"
         for b in batches:
-            ok = []
+            out = []
             for x in b["xml"]:
                 try:
-                    root = ElementTree.fromstring("".join(ch for ch in x if ch in "\n\t" or ord(ch) >= 32))
-                    ok.append(root.tag.endswith("TEI"))
+                    root = ElementTree.fromstring(x)
                 except ElementTree.ParseError:
-                    ok.append(False)
-            yield pd.DataFrame({"articulo_id": b["articulo_id"], "valido": ok})
+                    out.append((False, False, False, False, 0))
+                    continue
+                body = root.find(f"{ns}text/{ns}body")
+                out.append((True, root.tag == ns + "TEI", root.find(f"{ns}teiHeader/{ns}fileDesc/{ns}titleStmt/{ns}title") is not None, body is not None and bool("".join(body.itertext()).strip(" \t\r\n")), len(root.findall(f".//{ns}annotation"))))
+            yield pd.concat([b[["articulo_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["bien_formado", "espacio", "cabecera", "cuerpo", "anotaciones"])], axis=1)
 
-    return tei(ocr).mapInPandas(check, "articulo_id string, valido boolean")
+    return tei(ocr, arts, ents).mapInPandas(check, "articulo_id string, bien_formado boolean, espacio boolean, cabecera boolean, cuerpo boolean, anotaciones int")
 
 
 @q("k10_bibtex", r"select id, '@article{' || id || ', title={' || coalesce(titulo, '') || '}, year={' || coalesce(nullif(regexp_extract(fecha_publicacion, '\d{4}'), ''), 's.f.') || '}}' as entrada from (select distinct id, titulo, fecha_publicacion from articulos)", "articulos")
@@ -215,14 +267,15 @@ def report(ents: DataFrame) -> DataFrame:
     return c.withColumn("puesto", F.row_number().over(Window.partitionBy("categoria").orderBy(F.desc("n"), "entidad"))).where("puesto <= 10")
 
 
-_HASH = "with h as (select doc_id, sha256(doc_id::varchar || chr(1) || coalesce(text, '')) as h from documents), b as (select doc_id // 1000 as b, sha256(string_agg(h, '' order by doc_id)) as h from h group by 1) select sha256(string_agg(h, '' order by b)) as hash from b"
+_HASH = "with h as (select doc_id, sha256(doc_id::varchar || chr(1) || coalesce(text, '')) as h from documents), b1 as (select doc_id // 1000 as b, sha256(string_agg(h, '' order by doc_id)) as h from h group by 1), b2 as (select b // 1000 as b, sha256(string_agg(h, '' order by b1.b)) as h from b1 group by 1), b3 as (select b // 1000 as b, sha256(string_agg(h, '' order by b2.b)) as h from b2 group by 1) select sha256(string_agg(h, '' order by b)) as hash from b3"
 
 
 @q("f26_corpus_hash", _HASH, "documents")
 def corpus_hash(docs: DataFrame) -> DataFrame:
-    """A tree of hashes: rows, blocks of a thousand ids, and the blocks in their order."""
+    """A tree of hashes: rows, blocks of a thousand ids, of a thousand such blocks, and once more; no cell holds more."""
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    rows = docs.select("doc_id", sha(F.concat(F.col("doc_id").cast("string"), F.lit("\u0001"), F.coalesce("text", F.lit("")))).alias("h"))
+    blocks = docs.select(F.col("doc_id").alias("b"), sha(F.concat(F.col("doc_id").cast("string"), F.lit("\u0001"), F.coalesce("text", F.lit("")))).alias("h"))
     join = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda x: x["h"]), "")
-    blocks = rows.groupBy(F.floor(F.col("doc_id") / 1000).alias("b")).agg(sha(join("doc_id")).alias("h"))
+    for _ in range(3):
+        blocks = blocks.groupBy(F.floor(F.col("b") / 1000).alias("c")).agg(sha(join("b")).alias("h")).withColumnRenamed("c", "b")
     return blocks.agg(sha(join("b")).alias("hash"))

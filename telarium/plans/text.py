@@ -353,9 +353,34 @@ def census(ocr: DataFrame) -> DataFrame:
     return ocr.groupBy("articulo_id").agg(F.count(F.lit(1)).alias("paginas"), F.sum(n).alias("palabras"))
 
 
-@q("f16_historical_density", r"with x as (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as w from documents where text is not null) select doc_id, round(least(1.0, len(list_filter(w, lambda y: regexp_matches(y, '^(?:fué|vió|dió|á|ó)$|ph|th|ss'))) / len(w)), 4) as densidad from x where len(w) > 0", "documents")
+# Marks of old spelling inside words.
+MARKERS = {
+    "acento": "^(?:fué|fuí|vió|dió|á|ó|é|ú)$", "ph": "ph|th", "doble": "ss|cc?ç", "enclitico": "(?:ó|aba|ía|aron|ieron)(?:me|te|se|le|lo|la|les|los|las)$",
+    "superlativo": "ísim[oa]s?$", "equis": "^(?:dixo|dexar|baxo|exército|xefe)",
+}
+_OLD = "(" + " + ".join([f"(y in ({', '.join(repr(k) for k in LEMMAS)}))::int", *(f"regexp_matches(y, '{m}')::int" for m in MARKERS.values())]) + ")"
+_OLDW = rf"x as (select doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '\p{{L}}+'), lambda y: {{'y': y, 'n': {_OLD}}}), lambda z: true) as w from documents where text is not null)"
+
+
+def _old(y: Column) -> Column:
+    return sum((y.rlike(m).cast("int") for m in MARKERS.values()), y.isin(list(LEMMAS)).cast("int"))
+
+
+@q("f16_historical_density", f"with {_OLDW} select doc_id, round(least(1.0, list_sum(list_transform(w, lambda z: z.n)) / len(w)), 4) as densidad from x where len(w) > 0", "documents")
 def historical(docs: DataFrame) -> DataFrame:
+    """Irregular forms and marks of old spelling over words, one at most."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
     x = docs.where("text is not null").select("doc_id", w.alias("w")).where("size(w) > 0")
-    n = F.size(F.filter("w", lambda y: y.rlike("^(?:fué|vió|dió|á|ó)$|ph|th|ss")))
+    n = F.aggregate("w", F.lit(0), lambda a, y: a + _old(y))
     return x.select("doc_id", F.round(F.least(F.lit(1.0), n / F.size("w")), 4).alias("densidad"))
+
+
+@q("a60_archaisms", f"with {_OLDW}, u as (select doc_id, len(w) as palabras, unnest(list_filter(w, lambda z: z.n > 0)) as z from x), f as (select doc_id, palabras, z.y as y, count(*) as k, sum(z.n) as n from u group by 1, 2, 3), r as (select *, row_number() over (partition by doc_id order by k desc, y) as p from f) select doc_id, sum(k)::bigint as arcaismos, any_value(palabras)::bigint as palabras, round(least(1.0, sum(n) / any_value(palabras)), 4) as puntaje, string_agg(y, ', ' order by p) filter (p <= 5) as formas from r group by 1", "documents")
+def archaisms(docs: DataFrame) -> DataFrame:
+    """Old forms of each text that has any: their number, the score and the five commonest."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    x = docs.where("text is not null").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("palabras"), F.filter("w", lambda y: _old(y) > 0).alias("o"))
+    kinds = F.transform(F.array_distinct("o"), lambda y: F.struct((-F.size(F.filter("o", lambda z: z == y))).alias("k"), y.alias("y")))
+    n = F.aggregate("o", F.lit(0), lambda a, y: a + _old(y))
+    best = F.array_join(F.transform(F.slice(F.array_sort(kinds), 1, 5), lambda z: z["y"]), ", ")
+    return x.where("size(o) > 0").select("doc_id", F.size("o").cast("long").alias("arcaismos"), F.col("palabras").cast("long").alias("palabras"), F.round(F.least(F.lit(1.0), n / F.col("palabras")), 4).alias("puntaje"), best.alias("formas"))

@@ -33,10 +33,19 @@ def _by(*c: str):
     return Window.partitionBy(*c)
 
 
-def project(spark: SparkSession, path: str) -> DataFrame:
-    """A project document, its articles embedded as an array."""
-    doc = spark.read.json(path, multiLine=True)
-    return doc.select(F.posexplode("articulos").alias("posicion", "a")).select("posicion", "a.*")
+def project(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Project documents (a file or a line each), their articles embedded as an array."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    doc = reader.json(path, multiLine=not lines)
+    rest = [c for c in doc.columns if c != "articulos"]
+    return doc.select(*rest, F.posexplode("articulos").alias("posicion", "a")).select(*rest, "posicion", "a.*")
+
+
+def page_metadata(ocr: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Words, method and review flag of each page; the method of an earlier table (id, metodo) is kept."""
+    n = F.size(F.regexp_extract_all(F.coalesce("texto_crudo", F.lit("")), F.lit(r"([^\s]+)"), 1))
+    x = ocr.join(earlier, "id", "left")
+    return x.select("id", "articulo_id", n.alias("palabras"), F.coalesce(F.nullif("metodo", F.lit("")), F.lit("conversor")).alias("metodo"), F.coalesce(F.col("confianza") < 0.6, F.lit(False)).alias("revisar"))
 
 
 _TAG = r"""(?i)<meta\b((?:[^<>"']|"[^"]*"|'[^']*')*)>"""
@@ -84,6 +93,22 @@ def metadata(df: DataFrame, html: str) -> DataFrame:
     )
 
 
+def by_precedence(df: DataFrame, oai: str, html: str) -> DataFrame:
+    """Title, author, date and origin; harvested record, then linked data of the page, then its tags."""
+    m = F.col("m")
+    tag = lambda name: F.nullif(clean_html(F.regexp_extract(F.coalesce(oai, F.lit("")), f"<dc:{name}>([^<]*)</dc:{name}>", 1)), F.lit(""))
+    block = F.regexp_extract(html, r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script""", 1)
+    ld = lambda path: F.nullif(F.get_json_object("ld", f"$.{path}"), F.lit(""))
+    own = lambda *ks: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in ks])
+    x = df.withColumn("m", meta_tags(F.col(html))).withColumn("ld", block)
+    head = F.nullif(clean_html(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)", 1)), F.lit(""))
+    title = F.coalesce(tag("title"), ld("name"), ld("headline"), own("citation_title", "dc.title", "og:title"), head)
+    author = F.coalesce(tag("creator"), ld("author.name"), own("citation_author", "dc.creator", "author"))
+    date = F.coalesce(tag("date"), ld("datePublished"), own("citation_date", "dc.date", "date"))
+    origin = F.when(tag("title").isNotNull(), "oai").when(ld("name").isNotNull(), "json-ld").otherwise("html")
+    return x.select(*[c for c in df.columns if c not in (oai, html)], title.alias("titulo"), author.alias("autor"), date.alias("fecha"), origin.alias("origen"))
+
+
 def write_lines(df: DataFrame, column: str, path: str, header: str = "", footer: str = "") -> None:
     """Sink of text formats: lines stream through the driver into one file, without holding them."""
     with open(path, "w", encoding="utf-8") as f:

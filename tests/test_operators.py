@@ -196,3 +196,56 @@ def test_char_vectors_equal_a_count_by_hand(spark):
 def test_word2vec_has_the_size_of_the_survey(spark):
     m = models.word2vec(spark.createDataFrame([(["uno", "dos"] * 3,)], "t array<string>"))
     assert (len(m.getVectors().first()["vector"]), m.getMaxIter(), m.getWindowSize(), m.getMinCount()) == (150, 12, 6, 3)
+
+
+def test_factorisation_finds_planted_topics(spark):
+    """Documents of two vocabularies fall apart into two topics, with ids beyond 32 bits, and each topic lists its own words."""
+    import random
+
+    rng = random.Random(2)
+    kinds = [[f"rio{c}" for c in "abcdefgh"], [f"sol{c}" for c in "abcdefgh"]]
+    docs = [((1 << 40) + i, [rng.choice(kinds[i % 2]) for _ in range(30)]) for i in range(80)] + [(5, [])]
+    found, topics = models.nmf(spark.createDataFrame(docs, "doc_id long, t array<string>"), 2)
+    got = {r["doc_id"]: r["topico"] for r in found.collect()}
+    assert len(got) == 80
+    assert len({got[(1 << 40) + i] for i in range(0, 80, 2)}) == len({got[(1 << 40) + i] for i in range(1, 80, 2)}) == 1
+    assert got[1 << 40] != got[(1 << 40) + 1]
+    words = {r["topico"]: r["palabras"].split(", ")[:8] for r in topics.collect()}
+    assert set(words[got[1 << 40]]) == set(kinds[0]) and set(words[got[(1 << 40) + 1]]) == set(kinds[1])
+
+
+def test_attributes_in_any_order(spark):
+    html = "<META content='uno' NAME=\"DC.Title\"><meta property=og:x content=dos/><meta name='dc.title' content=\"tres > dos\"><meta charset=utf-8><title lang=\"es\"> Hola </title>"
+    got = spark.createDataFrame([(1, html)], "id int, h string").select(files.meta_tags(F.col("h")).alias("m")).first()["m"]
+    assert got == {"og:x": "dos/", "dc.title": "tres > dos"}
+    assert files.metadata(spark.createDataFrame([(1, html), (2, None)], "id int, h string"), "h").orderBy("id").first()["titulo"] == "tres > dos"
+
+
+def test_merge_and_replace(spark):
+    from telarium.operators import store
+
+    a = spark.createDataFrame([(1, "x", 1), (2, "y", 2), (3, None, 3)], "id int, o string, n int")
+    b = spark.createDataFrame([(2, "z", 5), (3, "w", None), (4, "v", 7)], "id int, o string, n int")
+    got = store.merge(a, b, ["id"], {"o": "old", "n": lambda x, y: F.coalesce(y, x)}).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "x", 1), (2, "y", 5), (3, None, 3), (4, "v", 7)]
+    assert sorted(r["id"] for r in store.replace(a, b.where("id < 3"), ["id"]).collect()) == [1, 2, 3]
+    assert store.merge(a.limit(0), b.limit(0), ["id"], {"o": "old", "n": "new"}).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [("", ""), ("abc", ""), ("kitten", "sitting"), ("aaaa", "aa"), ("año·nuevo", "ano nuevos"), ("ab" * 40, "ba" * 40)])
+def test_edit_distance_equals_table(a, b):
+    from telarium.operators.similarity import edit_distance
+
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    assert edit_distance(a, b) == row[-1]
+
+
+def test_nth_word(spark):
+    assert one(spark, "sol sol, sol y soles", cleaning.replace_word(F.col("c"), "sol", "luz")) == "luz luz, luz y soles"
+    assert one(spark, "sol sol, sol", cleaning.replace_word(F.col("c"), "sol", "luz", 2)) == "sol luz, sol"
+    assert one(spark, "sol", cleaning.replace_word(F.col("c"), "sol", "luz", 2)) == "sol"
+    assert one(spark, "quizás el médico fué", cleaning.respell(F.col("c"), {"quizá": "quizás", "fué": "fue"})) == "quizás el médico fue"
