@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,45 +83,96 @@ def propagation(edges: DataFrame, steps: int) -> DataFrame:
     return label
 
 
+def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(comunidades, modularidad) of a partition (nodo, comunidad), weighted."""
+    of = lambda x: parts.select(F.col("nodo").alias(x), F.col("comunidad").alias(f"c{x}"))
+    e = edges.join(of("a"), "a").join(of("b"), "b")
+    ends = e.select(F.explode(F.array("ca", "cb")).alias("c"), "peso", (F.col("ca") == F.col("cb")).alias("inside"))
+    by = ends.groupBy("c").agg(F.sum("peso").alias("k"), F.sum(F.when(F.col("inside"), F.col("peso")).otherwise(0)).alias("l"))  # a row a community
+    total = by.agg(F.sum("k").alias("m2"))
+    x = by.crossJoin(F.broadcast(total))  # one row
+    q = F.sum(F.col("l") / F.col("m2") - F.pow(F.col("k") / F.col("m2"), 2))
+    return x.agg(F.count(F.lit(1)).alias("comunidades"), F.round(q, 4).alias("modularidad"))
+
+
+def settled_pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """G3 of a graph capped by `graph` (cap x cap edges at most, held on the driver): steps until the ranks settle.
+
+    Larger graphs take `pagerank`, whose steps are written tables.
+    """
+    rows = edges.select("a", "b", "peso").collect()
+    nodes = sorted({x for r in rows for x in (r["a"], r["b"])})
+    at = {x: i for i, x in enumerate(nodes)}
+    n = len(nodes)
+    w = np.zeros((n, n))
+    for r in rows:
+        w[at[r["a"]], at[r["b"]]] += r["peso"]
+        w[at[r["b"]], at[r["a"]]] += r["peso"]
+    rank = np.full(n, 1.0 / max(n, 1))
+    share = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+    for _ in range(most):
+        new = (1 - damping) / max(n, 1) + damping * (rank @ share)
+        moved = np.abs(new - rank).sum()
+        rank = new
+        if moved < n * tolerance:
+            break
+    return edges.sparkSession.createDataFrame([(x, float(r)) for x, r in zip(nodes, rank, strict=True)], "nodo string, r double")
+
+
 def centralities(edges: DataFrame) -> DataFrame:
-    """Betweenness and closeness by one search from each node, spread over sources.
+    """Betweenness (weights are lengths, normalised) and closeness (steps, scaled by the part in reach).
 
-    For graphs capped by `graph`: the adjacency that is sent to the executors has cap x cap entries at most.
+    One search from each node, spread over the sources. For graphs capped by `graph`: the adjacency that is sent to
+    the executors has cap x cap entries at most.
     """
-    rows = edges.select("a", "b").collect()
-    near: dict[str, list[str]] = {}
-    for a, b in rows:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    spark = edges.sparkSession
+    rows = edges.select("a", "b", "peso").collect()
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = float(w)
+        near.setdefault(b, {})[a] = float(w)
+    spark, n = edges.sparkSession, len(near)
     if not near:
         return spark.createDataFrame([], "nodo string, intermediacion double, cercania double")
     sources = spark.createDataFrame([(x,) for x in sorted(near)], "s string").repartition(8)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import heapq
+
         for batch in batches:
             out: list[tuple[str, float, float]] = []
             for s in batch["s"]:
-                order, dist, paths, before = [], {s: 0}, {s: 1.0}, {s: []}
-                queue = [s]
+                steps, queue = {s: 0}, [s]
                 for v in queue:
-                    order.append(v)
                     for w in near[v]:
-                        if w not in dist:
-                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
+                        if w not in steps:
+                            steps[w] = steps[v] + 1
                             queue.append(w)
-                        if dist[w] == dist[v] + 1:
+                total, reach = sum(steps.values()), len(steps) - 1
+                out.append((s, 0.0, reach / total * reach / (n - 1) if total else 0.0))
+                order, dist, paths, before, heap = [], {s: 0.0}, {s: 1.0}, {s: []}, [(0.0, s)]
+                done = set()
+                while heap:
+                    d, v = heapq.heappop(heap)
+                    if v in done:
+                        continue
+                    done.add(v)
+                    order.append(v)
+                    for w, length in near[v].items():
+                        way = d + length
+                        if w not in dist or way < dist[w] - 1e-12:
+                            dist[w], paths[w], before[w] = way, paths[v], [v]
+                            heapq.heappush(heap, (way, w))
+                        elif w not in done and abs(way - dist[w]) <= 1e-12:
                             paths[w] += paths[v]
                             before[w].append(v)
-                total = sum(dist.values())
-                out.append((s, 0.0, (len(dist) - 1) / total if total else 0.0))
                 gain = dict.fromkeys(order, 0.0)
                 for w in reversed(order):
                     for v in before[w]:
                         gain[v] += paths[v] / paths[w] * (1 + gain[w])
                     if w != s:
-                        out.append((w, gain[w] / 2, 0.0))
+                        out.append((w, gain[w], 0.0))
             yield pd.DataFrame(out, columns=["nodo", "intermediacion", "cercania"])
 
     parts = sources.mapInPandas(search, "nodo string, intermediacion double, cercania double")
-    return parts.groupBy("nodo").agg(F.round(F.sum("intermediacion"), 6).alias("intermediacion"), F.round(F.sum("cercania"), 6).alias("cercania"))
+    pairs = F.lit(float(max((n - 1) * (n - 2), 1)))
+    return parts.groupBy("nodo").agg(F.round(F.sum("intermediacion") / pairs, 6).alias("intermediacion"), F.round(F.sum("cercania"), 6).alias("cercania"))

@@ -9,6 +9,7 @@ from telarium.operators import graph as G
 from telarium.operators.lexical import top
 from telarium.plans.entities import _ART, N, articles
 from telarium.plans.registry import Plan
+from telarium.session import materialise
 
 PLAN = Plan()
 QUERIES, SQL = PLAN.queries, PLAN.sql
@@ -69,16 +70,33 @@ def graph_components(ents: DataFrame) -> DataFrame:
     return G.components(g, G.degrees(g).select(F.col("nodo").alias("id")))
 
 
-@q("g2_communities", None, "entidades")
+_LP = "d as materialized (select a, b, peso from g union all select b, a, peso from g), c0 as (select distinct a as nodo, a as c from d)" + "".join(f", v{i} as materialized (select d.a, l.c, sum(peso) as v from d join c{i - 1} l on d.b = l.nodo group by 1, 2), c{i} as materialized (select a as nodo, arg_min(c, struct_pack(v := -v, c := c)) as c from v{i} group by 1)" for i in range(1, 9))
+_GM = _G.replace("g as (", "g as materialized (", 1)
+
+
+@q("g2_communities", f"with {_GM}, {_LP} select nodo, c as comunidad from c8", "entidades")
 def communities(ents: DataFrame) -> DataFrame:
-    return G.propagation(capped(ents), 8)
+    return G.propagation(materialise(capped(ents), "aristas"), 8)
+
+
+@q("g2_modularity", f"with {_GM}, {_LP}, e as (select x.c as ca, y.c as cb, peso from g join c8 x on x.nodo = a join c8 y on y.nodo = b), kk as (select c, sum(peso) as k, sum(l) as l from (select ca as c, peso, case when ca = cb then peso else 0 end as l from e union all select cb, peso, case when ca = cb then peso else 0 end from e) group by 1), mm as (select sum(k) as m2 from kk) select count(*) as comunidades, round(sum(l / m2 - (k / m2) * (k / m2)), 4) as modularidad from kk, mm", "entidades")
+def graph_modularity(ents: DataFrame) -> DataFrame:
+    g = materialise(capped(ents), "aristas")
+    return G.modularity(g, G.propagation(g, 8))
 
 
-_PR = "r0 as (select a as nodo, 1.0 / (select count(*) from o) as r from o)" + "".join(f", r{i} as (select b as nodo, 0.15 / (select count(*) from o) + 0.85 * sum(w * r) as r from s join r{i - 1} on a = nodo group by b)" for i in range(1, 6))
+_PR = "r0 as (select a as nodo, 1.0::double / (select count(*) from o) as r from o)" + "".join(f", r{i} as materialized (select b as nodo, 0.15 / (select count(*) from o) + 0.85 * sum(w * r) as r from s join r{i - 1} on a = nodo group by b)" for i in range(1, 61))
 
 
-@q("g3_pagerank", f"with {_G}, d as (select a, b, peso from g union all select b, a, peso from g), o as (select a, sum(peso) as salida from d group by a), s as (select d.a, d.b, peso / salida as w from d join o using (a)), {_PR} select nodo, round(r, 8) as rango from r5", "entidades")
+@q("g3_pagerank", f"with {_GM}, d as materialized (select a, b, peso from g union all select b, a, peso from g), o as materialized (select a, sum(peso) as salida from d group by a), s as materialized (select d.a, d.b, peso / salida as w from d join o using (a)), {_PR} select nodo, round(r, 5) as rango from r60", "entidades")
 def pagerank(ents: DataFrame) -> DataFrame:
+    """Ranks of the capped graph after they settled; the tolerance is far below what is shown."""
+    return G.settled_pagerank(capped(ents), tolerance=1e-12).select("nodo", F.round("r", 5).alias("rango"))
+
+
+@q("g3_pagerank_steps", f"with {_GM}, d as materialized (select a, b, peso from g union all select b, a, peso from g), o as materialized (select a, sum(peso) as salida from d group by a), s as materialized (select d.a, d.b, peso / salida as w from d join o using (a)), {_PR.partition(', r6 as')[0]} select nodo, round(r, 8) as rango from r5", "entidades")
+def pagerank_steps(ents: DataFrame) -> DataFrame:
+    """Five steps by joins, the form for graphs that no machine holds."""
     return G.pagerank(capped(ents), 5).select("nodo", F.round("r", 8).alias("rango"))
 
 
@@ -90,8 +108,8 @@ def centralities(ents: DataFrame) -> DataFrame:
 @q("k4_network_metrics", None, "entidades")
 def metrics(ents: DataFrame) -> DataFrame:
     """Degree, centralities and community of each node."""
-    g = capped(ents)
-    return G.degrees(g).join(G.centralities(g), "nodo").join(G.propagation(g, 8), "nodo")
+    g = materialise(capped(ents), "aristas")
+    return G.degrees(g).join(G.centralities(g), "nodo").join(G.propagation(g, 8), "nodo").join(G.settled_pagerank(g).withColumnRenamed("r", "rango"), "nodo")
 
 
 @q("g4_knowledge_graph", f"with x as (select categoria || ':' || {N} as s, articulo_id as o, id from entidades) select s as origen, 'mencionado_en' as predicado, o as destino, count(*) as evidencias from x group by 1, 3", "entidades")

@@ -249,3 +249,17 @@ def test_nth_word(spark):
     assert one(spark, "sol sol, sol", cleaning.replace_word(F.col("c"), "sol", "luz", 2)) == "sol luz, sol"
     assert one(spark, "sol", cleaning.replace_word(F.col("c"), "sol", "luz", 2)) == "sol"
     assert one(spark, "quizás el médico fué", cleaning.respell(F.col("c"), {"quizá": "quizás", "fué": "fue"})) == "quizás el médico fue"
+
+
+def test_centralities_by_hand(spark):
+    """A square with a heavy side and a tail: shortest ways by weight, shares of all pairs."""
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("a", "d", 5), ("d", "e", 1)], "a string, b string, peso int")
+    got = {r["nodo"]: r for r in graph.centralities(edges).collect()}
+    # ways through b: a-c a-d a-e; through c: a-d a-e b-d b-e; through d: a-e b-e c-e; of six pairs each
+    assert {k: round(v["intermediacion"], 4) for k, v in got.items()} == {"a": 0.0, "b": 0.5, "c": 0.6667, "d": 0.5, "e": 0.0}
+    assert got["d"]["cercania"] == 0.8 and got["e"]["cercania"] == 0.5
+    ranks = {r["nodo"]: r["r"] for r in graph.settled_pagerank(edges, tolerance=1e-12).collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-9 and max(ranks, key=ranks.get) == "d"
+    parts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 2)], "nodo string, comunidad int")
+    m, inside, k1, k2 = 9, 3, 8, 10
+    assert graph.modularity(edges, parts).first()["modularidad"] == round((1 + 2) / m - (k1 / (2 * m)) ** 2 - (k2 / (2 * m)) ** 2, 4) and inside == 3
