@@ -114,10 +114,11 @@ STRONG = (
 )
 # stems one of which stands in every text that STRONG hits
 STEMS = (
-    r"javascript|\bjs\b|script|cookie|\b[45]\d\d\b|not found|gateway|forbidden|unavailable|too many|internal server|rejected|denied|denegado|"
-    r"encontrad|disponible|existe|responde|recibido|no pued|no podemos|posible|cannot|can't|unable|peux|no contiene|vac[ií]a|carece|no se encuentra|"
-    r"contains no|cambiado de|tard[oó] demasiado|no pudo|caducado|mantenimiento|asistente|as an ai|language model|adjunte|vuelva a|requiere|precisa|"
-    r"necesita|requires|fue |sido |was |has been"
+    r"javascript|\b(?:js|scripts?|cookies)\b|\b[45]\d\d\b|not found|gateway|forbidden|unavailable|too many requests|internal server|request rejected|"
+    r"access denied|denegado|(?:no|sin) (?:encontrad|disponible|existe|responde)|no (?:he|hemos) recibido|no pued|no podemos|es posible|cannot|can't|unable to|"
+    r"ne peux pas|no contiene|vac[ií]a|carece de|no se encuentra|contains no|no est[aá] disponible|cambiado de direcci|tard[oó] demasiado|no pudo abrirse|ha caducado|"
+    r"en mantenimiento|como asistente|as an ai|language model|adjunte la|vuelva a subir|sesi[oó]n|session|login|identificaci|iniciar|"
+    r"retirad|movid|eliminad|borrad|trasladad|bloquead|removed|moved|deleted|blocked"
 )
 # sentences that report what somebody said, wrote or read
 REPORTED = r"(?U)(?:^|(?<=[.!?\n]))[^.!?\n]*?\b(?:dec[ií]an?|rezaba|dijo|dijeron|respondi[oó]|lament[oó]|escribi[oó]|escrito|cuenta|contaba|rieron|anunciaba|le[ií]a|said|read)\b[^.!?\n]*"
