@@ -147,7 +147,13 @@ GIANT = rf"(?U)\p{{L}}{_RUN}|\p{{N}}{_RUN}|[^\s\p{{L}}\p{{N}}]{_RUN}|\s{_RUN}"
 
 
 def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """(id_col, ids) of each row, encoded where it was read."""
+    """(id_col, ids) of each row, written, so that the literals stay out of the plans that read them."""
+    with short_plans(df.sparkSession):
+        return materialise(_encoded(df, id_col, text, path), "ids")
+
+
+def _encoded(df: DataFrame, id_col: str, text: str, path: str | None) -> DataFrame:
+    """(id_col, ids) of each row, encoded where it was read; the plan holds the literals."""
     ranks = load_ranks(path or vocabulary_path())
     docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("t"))
     split = F.regexp_extract_all("t", F.lit(PATTERN), 0)
@@ -176,7 +182,8 @@ def encode(df: DataFrame, id_col: str, text: str, path: str | None = None) -> Da
 
 def count_tokens(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
     """(id_col, tokens) of each row."""
-    return encode(df, id_col, text, path).select(id_col, F.size("ids").cast("long").alias("tokens"))
+    with short_plans(df.sparkSession):
+        return materialise(_encoded(df, id_col, text, path).select(id_col, F.size("ids").cast("long").alias("tokens")), "tokens")
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None) -> Column:
