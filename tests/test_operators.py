@@ -67,7 +67,8 @@ def test_components(spark):
 def test_betweenness_of_a_path(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "a string, b string, peso int")
     got = {r["nodo"]: r["intermediacion"] for r in graph.centralities(edges).collect()}
-    assert got == {"a": 0, "b": 2, "c": 2, "d": 0}
+    # two of the three pairs of other nodes, as shares
+    assert got == {"a": 0, "b": 0.666667, "c": 0.666667, "d": 0}
 
 
 def test_network_sees_each_pair_twice(spark):
