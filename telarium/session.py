@@ -95,11 +95,14 @@ def drop_table(df: DataFrame) -> None:
 
 @contextmanager
 def short_plans(spark: SparkSession, length: int = 100_000) -> Iterator[None]:
-    """Keeps descriptions of plans short while they hold large constants, as the driver retains them."""
-    key = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(length))
+    """Keeps descriptions of plans short while they hold large constants: the driver retains them, and each is as long as
+    all its constants before it is cut, so they are also made once an operator and not twice."""
+    wanted = {"spark.sql.maxPlanStringLength": str(length), "spark.sql.ui.explainMode": "simple"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
