@@ -185,5 +185,13 @@ with k as (
   select 'anotaciones', id, art_id, categoria, fuente, {_A} from anotaciones),
 m as (select *, min(id) over (partition by tabla, a, c, f, k) as id_conservado from k)
 select tabla, id_conservado, id as id_copia from m where id > id_conservado""",
+    "p1_ledger": f"""
+with k as (
+  select 'entidades' as tabla, id, md5(concat_ws(chr(30), 'entidades', coalesce('=' || articulo_id, '!'), coalesce('=' || categoria, '!'), array_to_string({_E}, chr(31)))) as clave
+  from entidades where texto is not null
+  union all
+  select 'anotaciones', id, md5(concat_ws(chr(30), 'anotaciones', coalesce('=' || art_id, '!'), coalesce('=' || fuente, '!'), coalesce('=' || categoria, '!'), array_to_string({_A}, chr(31))))
+  from anotaciones where texto_orig is not null)
+select tabla, clave, count(*) as copies, min(id) as first_id from k group by 1, 2""",
 }
 QUERIES = {"p1_found": p1_found, "p1_ledger": p1_ledger}
