@@ -134,6 +134,20 @@ def test_names_link(spark):
     ]
 
 
+def test_names_with_few_or_many_parts_link(spark):
+    """No known given name, three given names, a name that is shortened already, compound surnames and three surnames."""
+    pairs = [
+        ("Zenquio Marmutelcal Barmacamo", "Zenquio Marmutelcal Barmacmao"), ("Juan Carlos Antonio Orfemoldero Pallacamez", "Juan Carlos Orfemoldero Pallacamez"),
+        ("Juan C. Antonio Salmabusa Galtasores", "Juan C. A. Salmabusa Galtasores"), ("Antonio G. Tarlaberes Quinsamenes", "A. G. Tarlaberes Quinsamenes"),
+        ("Luis G. Belmapeles Zartomenes", "Luis Belmapeles Zartomenes"), ("Pedro de la Corfehan Urlladala", "Pedro de la Corfehan"), ("Rosa Monrajaro Esmotoro Jarnipun", "Rosa Monrajaro Esmotoro"),
+    ]
+    apart = ["El Zurdo", "El Gordo", "Juan Urbano", "Juana Urbano"]
+    df = spark.createDataFrame([(x, "personas", None) for p in pairs for x in p] + [(x, "personas", None) for x in apart], "nombre string, categoria string, nuevo string")
+    entity = {r["nombre"]: r["entidad"] for r in names.link(df).collect()}
+    assert [p for p in pairs if entity[p[0]] != entity[p[1]]] == []
+    assert len({entity[x] for x in [p[0] for p in pairs] + apart}) == len(pairs) + len(apart)
+
+
 def test_given_names_of_large_tables(spark):
     """Given names are learned though the words after them are few and the people many."""
     word = lambda kind, i: kind + "bcdfghjlmnprstvz"[i] + "al"
