@@ -15,6 +15,7 @@ from telarium.operators.lexical import top
 from telarium.session import materialise
 
 SEED = 42
+PART = 1_000_000  # words that one task trains vectors on
 
 
 def lda(toks: DataFrame, k: int = 5, steps: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -128,8 +129,10 @@ def pca(vectors: DataFrame) -> DataFrame:
 
 
 def word2vec(toks: DataFrame, size: int = 150, steps: int = 12):
-    """M9: the fitted model."""
-    return Word2Vec(vectorSize=size, windowSize=6, minCount=3, maxIter=steps, seed=SEED, inputCol="t", outputCol="v").fit(toks.where(F.size("t") > 0))
+    """M9: the fitted model. Every step trains a part of PART words in a task of its own and averages the parts; fewer words are one part."""
+    t = materialise(toks.where(F.size("t") > 0).select("t"), "palabras")
+    words = t.agg(F.sum(F.size("t"))).first()[0] or 0
+    return Word2Vec(vectorSize=size, windowSize=6, minCount=3, maxIter=steps, seed=SEED, numPartitions=1 + words // PART, inputCol="t", outputCol="v").fit(t)
 
 
 def hashed_embeddings(toks: DataFrame, size: int = 384) -> DataFrame:

@@ -199,6 +199,17 @@ def test_word2vec_has_the_size_of_the_survey(spark):
     assert (len(m.getVectors().first()["vector"]), m.getMaxIter(), m.getWindowSize(), m.getMinCount()) == (150, 12, 6, 3)
 
 
+def test_word2vec_trains_large_tables_in_parts(spark, monkeypatch):
+    """As many tasks as parts of the words, and words of one kind of sentence stay nearest to each other."""
+    docs = [([f"{k}{c}" for c in "abcd"] * 5,) for k in ("rio", "sol") for _ in range(60)]
+    df = spark.createDataFrame(docs, "t array<string>")
+    assert models.word2vec(df).getNumPartitions() == 1
+    monkeypatch.setattr(models, "PART", 1000)
+    m = models.word2vec(df)
+    assert m.getNumPartitions() == 3
+    assert {r["word"] for r in m.findSynonyms("rioa", 3).collect()} == {"riob", "rioc", "riod"}
+
+
 def test_factorisation_finds_planted_topics(spark):
     """Documents of two vocabularies fall apart into two topics, with ids beyond 32 bits, and each topic lists its own words."""
     import random
