@@ -7,7 +7,8 @@ HOT_BYTES each) are folded once; they go into the plan as a second literal of th
 encoded where it was read: its words are looked up in that literal, and a word that isn't there is folded on the
 spot. So nothing but counts of distinct words is shuffled, and every document takes the same way, but for those
 with a word over LONG bytes, for which the fold is too slow: they take the same merges through a heap in
-Python. Decoding looks pieces up in a literal array and concatenates the binaries.
+Python. Decoding looks pieces up in a literal array and concatenates the binaries. Where only the numbers of tokens are
+wanted (`count_tokens`), no plan holds a literal.
 
 Defined results: null, empty text -> an empty list; every row gives one row, repeated rows included;
 special tokens' strings are ordinary text; extra columns are ignored.
@@ -22,9 +23,13 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from telarium.session import materialise, read, short_plans
 
@@ -181,9 +186,40 @@ def _encoded(df: DataFrame, id_col: str, text: str, path: str | None) -> DataFra
 
 
 def count_tokens(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """(id_col, tokens) of each row."""
-    with short_plans(df.sparkSession):
-        return materialise(_encoded(df, id_col, text, path).select(id_col, F.size("ids").cast("long").alias("tokens")), "tokens")
+    """(id_col, tokens) of each row, without the ids.
+
+    The vocabulary is a broadcast of the Python workers, not a literal: a plan with literals is described hundreds of
+    times, each time in full, and these strings fill the driver's memory. The words of an Arrow batch are told apart once
+    and take the merges of the heap.
+    """
+    docs = df.select(F.col(f"`{id_col}`").alias("doc"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), 0).alias("w"))
+    shared = df.sparkSession.sparkContext.broadcast(load_ranks(path or vocabulary_path()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, known = shared.value, {}
+
+        def tokens(data: bytes) -> int:
+            if data in ranks:
+                return 1
+            if len(data) > HOT_BYTES:
+                return len(merge_bytes(data, ranks))
+            if data not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[data] = len(merge_bytes(data, ranks))
+            return known[data]
+
+        for b in batches:
+            lists = b.column("w")
+            words = lists.flatten().dictionary_encode()
+            each = np.array([tokens(w.encode()) for w in words.dictionary.to_pylist()], "int64")
+            sums = np.concatenate([[0], np.cumsum(each[words.indices.to_numpy(zero_copy_only=False)])])
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype="int64")
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array((sums[ends] - sums[ends - sizes]).astype("int64"))], ["doc", "tokens"])
+
+    schema = StructType([StructField("doc", docs.schema["doc"].dataType), StructField("tokens", LongType())])
+    return docs.mapInArrow(count, schema).withColumnRenamed("doc", id_col)
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None) -> Column:

@@ -414,6 +414,25 @@ def test_repeated_rows_are_encoded_each(spark):
     assert Counter(len(r["ids"]) > 0 for r in tokenizer.encode(df, "doc_id", "text").collect()) == {True: 2, False: 1}
 
 
+def test_counting_keeps_constants_out_of_plans(spark, monkeypatch):
+    """p9: the driver describes a plan hundreds of times, each time with all its constants."""
+    plans = []
+    for module in (tokenizer, mixture):
+        write = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, *a, write=write: plans.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or write(df, *a))
+    docs = [(1, None, "a"), (2, "", "a"), (3, "uno dos  tres", "b"), (4, "x" * 9000 + " 😀ñ", "b"), (5, "uno", None), (6, "uno dos  tres", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(1)
+    goal = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, peso double, max_repeticiones int")
+    assert mixture.mix(df, goal).count() and plans and max(plans) < 20_000
+    plans.clear()
+    counted = tokenizer.count_tokens(df, "doc_id", "text")
+    tokens = {r["doc_id"]: r["tokens"] for r in counted.collect()}
+    assert max(plans, default=0) < 20_000
+    ids = {r["doc_id"]: len(r["ids"]) for r in tokenizer.encode(df, "doc_id", "text").collect()}
+    assert tokens == ids and tokens[1] == tokens[2] == 0
+    assert not tokenizer.count_tokens(df.limit(0), "doc_id", "text").count()
+
+
 # 9: mixture
 
 
