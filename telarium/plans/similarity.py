@@ -23,10 +23,9 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
     return S.cosine_pairs(S.tfidf(toks(docs, 4, STOP)), 0.8).select("a", "b", F.round("sim", 3).alias("sim"))
 
 
-@q("g6_intertextual_graph", f"with {_V}, s as (select a.doc_id as a, b.doc_id as b, sum(a.x * b.x) as sim from v a join v b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2 having sum(a.x * b.x) >= 0.8), x as (select a as nodo from s union all select b from s) select nodo, count(*) as grado from x group by 1", "documents")
+@q("g6_intertextual_graph", f"with {_V}, s as (select a.doc_id as a, b.doc_id as b, sum(a.x * b.x) as sim from v a join v b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2 having sum(a.x * b.x) >= 0.25), x as (select a as nodo from s union all select b from s) select nodo, count(*) as grado from x group by 1", "documents")
 def intertextual(docs: DataFrame) -> DataFrame:
-    s = S.cosine_pairs(S.tfidf(toks(docs, 4, STOP)), 0.8)
-    return s.select(F.explode(F.array("a", "b")).alias("nodo")).groupBy("nodo").agg(F.count(F.lit(1)).alias("grado"))
+    return S.cosine_degrees(S.tfidf(toks(docs, 4, STOP)), 0.25)
 
 
 @q("j6_duplicate_pairs", f"with {sql_tokens(4)}, s as (select doc_id, list_distinct(t) as t from tok where len(t) > 0), e as (select doc_id, len(t) as n, unnest(t) as w from s), c as (select a.doc_id as a, b.doc_id as b, count(*) / least(any_value(a.n), any_value(b.n)) as c from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c, 4) as coef from c where round(c, 4) >= 0.5", "documents")
